@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lamella.sources.tables import table
 
-from . import sites
+from . import leak, sites, tokens
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,4 +21,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return sites.strips_of_sites(table(spark, d, "strip_map"), table(spark, d, "analysis_only"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.corpus_ids(table(spark, d, "documents"))
+
+
+def p6_tokens_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.tokens_by_source(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks_by_suite(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite)}
