@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .plans import spread
 from .words import WordHash, gram_hashes, winnow, words
 
 SPAN = 12
@@ -32,6 +33,8 @@ def _shape(run: int) -> tuple[int, int]:
 def longest_shared(a: np.ndarray, b: np.ndarray, i: int, j: int, most: int) -> int:
     """Length of the run of equal entries of a and b through places i and j, counted up to ``most``."""
     left = 0
+    if i >= len(a) or a[i] != b[j]:
+        return 0
     while left < most and i > left and j > left and a[i - left - 1] == b[j - left - 1]:
         left += 1
     right = 0
@@ -62,33 +65,41 @@ class Items:
             self.at[run] = dict(found)
             self.sorted[run] = np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
 
-    def given_away(self, h: np.ndarray) -> set[int]:
-        """Ids of the items that a document of these word hashes gives away."""
-        out: set[int] = set()
+    def given_away(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
+        """(place in docs, item id) for each item that a document of these word hashes gives away.
+
+        The documents are fingerprinted end to end; a run that crosses from one to the next cannot pass the extension.
+        """
+        out: set[tuple[int, int]] = set()
+        joined = np.concatenate(docs) if docs else np.empty(0, dtype=np.uint64)
+        ends = np.cumsum([len(h) for h in docs])
         for run in self.runs:
             known = self.sorted[run]
             k, window = _shape(run)
-            if len(h) < run or not len(known):
+            if len(joined) < run or not len(known):
                 continue
-            g = gram_hashes(h, k)
+            g = gram_hashes(joined, k)
             places = winnow(g, window)
             near = np.searchsorted(known, g[places])
-            for p in places[known[np.minimum(near, len(known) - 1)] == g[places]]:
+            places = places[known[np.minimum(near, len(known) - 1)] == g[places]]
+            for p, d in zip(places.tolist(), np.searchsorted(ends, places, side="right").tolist()):
+                h = docs[d]
                 for n, q in self.at[run][int(g[p])]:
                     item, own = self.items[n]
-                    if item not in out and longest_shared(h, own, int(p), q, self.need[n]) >= self.need[n]:
-                        out.add(item)
-        return out
+                    if (d, item) not in out and longest_shared(h, own, p - int(ends[d]) + len(h), q, self.need[n]) >= self.need[n]:
+                        out.add((d, item))
+        return sorted(out)
 
 
 def _scan(documents: DataFrame, items: Items) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = WordHash()
         for b in batches:
-            pairs = [(d, i) for d, t in zip(b["doc_id"], b["text"]) if t for i in items.given_away(hashed(words(t)))]
+            ids = b["doc_id"].tolist()
+            pairs = [(ids[n], i) for n, i in items.given_away([hashed(words(t)) for t in b["text"]])]
             yield pd.DataFrame(pairs, columns=["doc_id", "item_id"], dtype="int64")
 
-    return documents.select("doc_id", "text").mapInPandas(find, "doc_id bigint, item_id bigint")
+    return spread(documents.select("doc_id", "text")).mapInPandas(find, "doc_id bigint, item_id bigint")
 
 
 def _fingerprints(rows: DataFrame, key: str, runs: list[int], span: int, by_length: bool) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plans import spread
+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split of the text that the vocabulary was made for.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -218,11 +220,11 @@ def decoded(ids: Column, ranks: str = DEFAULT_RANKS) -> Column:
 
 def corpus_ids(documents: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
     """(doc_id, ids) for every document: one scan of two columns, no shuffle."""
-    return documents.select("doc_id", token_ids(F.col("text"), ranks).alias("ids"))
+    return spread(documents.select("doc_id", "text")).select("doc_id", token_ids(F.col("text"), ranks).alias("ids"))
 
 
 def tokens_by_source(documents: DataFrame, ranks: str = DEFAULT_RANKS) -> DataFrame:
     """(source, n_docs, n_tokens, n_roundtrip): ids counted and decoded again; n_roundtrip counts texts that come back unchanged."""
-    ids = documents.select("source", "text", token_ids(F.col("text"), ranks).alias("ids"))
+    ids = spread(documents.select("source", "text")).select("source", "text", token_ids(F.col("text"), ranks).alias("ids"))
     back = ids.select("source", F.size("ids").alias("n"), (decoded(F.col("ids"), ranks) == F.coalesce("text", F.lit(""))).cast("bigint").alias("same"))
     return back.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").cast("bigint").alias("n_tokens"), F.sum("same").alias("n_roundtrip"))

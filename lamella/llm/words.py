@@ -48,25 +48,22 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class WordHash:
+class WordHash(dict):
     """64-bit hashes of words, alike on every machine; keeps those seen."""
 
     def __init__(self, keep: int = 500_000):
         import xxhash
 
-        self.of, self.kept, self.keep = xxhash.xxh64_intdigest, {}, keep
+        self.of, self.keep = xxhash.xxh64_intdigest, keep
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = self.of(word)
+        return h
 
     def __call__(self, ws: list[str]) -> np.ndarray:
-        kept = self.kept
-        if len(kept) > self.keep:
-            kept.clear()
-        out = np.empty(len(ws), dtype=np.uint64)
-        for i, w in enumerate(ws):
-            h = kept.get(w)
-            if h is None:
-                h = kept[w] = self.of(w)
-            out[i] = h
-        return out
+        if len(self) > self.keep:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), dtype=np.uint64, count=len(ws))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -89,7 +86,7 @@ def winnow(g: np.ndarray, window: int) -> np.ndarray:
 
     Any two texts that share window + k - 1 words in a row keep a k-gram of that run in both.
     """
-    if len(g) < window or not len(g):
+    if len(g) < window:
         return np.empty(0, dtype=np.int64)
     runs = np.lib.stride_tricks.sliding_window_view(g[::-1], window)
     at = len(g) - 1 - (np.arange(len(runs)) + runs.argmin(axis=1))
