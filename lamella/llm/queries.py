@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamella.sources.tables import table
 
-from . import leak, sites, tokens
+from . import leak, neighbours, sites, tokens
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "space_x"), table(spark, d, "labelfree_spaces"))
+
+
+def p1_same_crop(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.same_crop_rate(table(spark, d, "space_x"), table(spark, d, "labelfree_spaces"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,4 +45,4 @@ def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks_by_suite(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite)}
