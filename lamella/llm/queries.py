@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamella.sources.tables import table
 
-from . import clusters, leak, neighbours, sites, tokens
+from . import clusters, leak, neighbours, overlap, sites, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,6 +37,14 @@ def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
     return clusters.cluster_sizes(table(spark, d, "space_x"), table(spark, d, "labelfree_spaces"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "strip_map"), table(spark, d, "design"))
+
+
+def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps_by_source(table(spark, d, "strip_map"), table(spark, d, "design"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.corpus_ids(table(spark, d, "documents"))
 
@@ -53,4 +61,4 @@ def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks_by_suite(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p4_found, p4_sizes, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p4_found, p4_sizes, p5_found, p5_by_source, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite)}

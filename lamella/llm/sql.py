@@ -35,6 +35,34 @@ e AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <
 reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 """
 
+_P5 = """WITH names AS (
+  SELECT crop, trim(regexp_replace(lower(split), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM design
+),
+splits AS (
+  SELECT DISTINCT crop AS site, CASE WHEN k IN ('train', 'training') THEN 'train' WHEN k IN ('val', 'validation', 'valid', 'dev') THEN 'val'
+    WHEN k IN ('test', 'testing', 'held out', 'heldout', 'holdout') THEN 'test' END AS split FROM names
+),
+sides AS (
+  SELECT site AS l, unnest(regexp_extract_all(lower(right_neighbour), '[a-z0-9]+')) AS r FROM strip_map
+  UNION SELECT unnest(regexp_extract_all(lower(left_neighbour), '[a-z0-9]+')), site FROM strip_map
+),
+firm AS (SELECT DISTINCT site FROM strip_map WHERE NOT isnan(seam_corr_to_right) AND CASE WHEN seam_corr_to_right > 1 THEN seam_corr_to_right / 100 ELSE seam_corr_to_right END >= 0.8),
+prof AS (
+  SELECT DISTINCT site, list_transform(p, lambda v: (v - list_avg(p)) / sqrt(list_sum(list_transform(p, lambda w: (w - list_avg(p)) ** 2)))) AS z
+  FROM (SELECT site, list_transform(profile, lambda v: v::DOUBLE) AS p FROM strip_map)
+  WHERE p IS NOT NULL AND len(p) = 64 AND list_count(p) = 64 AND list_min(p) < list_max(p)
+),
+either AS (
+  SELECT l AS a, r AS b FROM sides WHERE l IN (SELECT site FROM firm)
+  UNION SELECT x.site, y.site FROM prof x JOIN splits s ON x.site = s.site AND s.split = 'train'
+    JOIN prof y ON true JOIN splits t ON y.site = t.site AND t.split IN ('val', 'test') WHERE list_dot_product(x.z, y.z) >= 0.95 - 1e-12
+),
+pairs AS (
+  SELECT DISTINCT least(a, b) AS site_a, greatest(a, b) AS site_b FROM either
+  JOIN splits s ON s.site = a JOIN splits t ON t.site = b WHERE a <> b AND s.split IS NOT NULL AND t.split IS NOT NULL AND (s.split = 'train') <> (t.split = 'train')
+)
+"""
+
 SQL = {
     "p1_found": _P1 + "SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM best WHERE rank <= 5 AND sim >= 0.85",
     "p1_same_crop": _P1 + """, crops AS (SELECT vec_id, min(crop) AS crop FROM space_x GROUP BY vec_id)
@@ -64,4 +92,11 @@ stat AS (SELECT a, least(a, min(b)) AS label, count(*) + 1 AS n, round(avg(sim),
 size AS (SELECT label, count(*) AS n FROM stat GROUP BY label)
 SELECT a AS vec_id, first_value(a) OVER (PARTITION BY s.label ORDER BY mean DESC, a) AS typical_id
 FROM stat s JOIN size z ON s.label = z.label AND s.n = z.n WHERE z.n >= 3""",
+    "p5_found": _P5 + "SELECT site_a, site_b FROM pairs",
+    "p5_by_source": _P5 + """, imgs AS (
+  SELECT DISTINCT d.crop, s.split, coalesce(try_cast(nullif(regexp_extract(lower(groups), 'img[^0-9a-z]*([0-9]{1,18})', 1), '') AS BIGINT), -1) AS image
+  FROM design d JOIN splits s ON s.site = d.crop WHERE s.split IN ('val', 'test')
+)
+SELECT split, image, count(DISTINCT site_a || site_b) AS n_pairs, count(DISTINCT crop) AS n_crops
+FROM pairs JOIN imgs ON crop IN (site_a, site_b) GROUP BY split, image""",
 }
