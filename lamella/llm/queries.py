@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lamella.sources.tables import table
 
-from . import clusters, leak, neighbours, overlap, sites, tokens
+from . import clusters, leak, neighbours, overlap, pii, sites, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,4 +61,12 @@ def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks_by_suite(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p4_found, p4_sizes, p5_found, p5_by_source, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_personal(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_personal(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p4_found, p4_sizes, p5_found, p5_by_source, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite, p8_found, p8_redacted)}
