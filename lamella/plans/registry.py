@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable:
 def _load() -> dict[str, Query]:
     from importlib import import_module
 
-    for name in ():
+    for name in ("table_queries",):
         import_module(f"lamella.plans.{name}")
     return _ALL
 
