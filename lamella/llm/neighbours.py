@@ -1,7 +1,7 @@
 """Problem 1: the most similar vectors of every vector, by a forest of random-projection trees and exact reranking.
 
-Every vector is placed in the leaves that a shared priority queue over the trees gives it, and within each leaf all its
-vectors are compared exactly; so a pair is found if the two share one of their leaves. Spaces of up to ``leaf_rows`` vectors
+Every vector is placed in the leaves that a shared priority queue over the trees gives it (packed to 20 bits a coordinate, which
+leaves cosines right to about 3e-7), and within each leaf all vectors are compared with each other; so a pair is found if the two share one of their leaves. Spaces of up to ``leaf_rows`` vectors
 are one leaf and thus exact. The trees' thresholds come from a bounded sample (SAMPLE_PER_LEAF rows a leaf and at least
 LEAST_SAMPLE a space); every vector is indexed. Large classes of exact copies take part with one representative that stands
 for its six smallest ids, which is all that any list of five can need.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .plans import spread
-from .vectors import Forest, large_copy_classes, sound_vectors, unit_rows, without_copies
+from .vectors import Forest, large_copy_classes, packed, sound_vectors, unit_rows, unpacked, without_copies
 
 LEAF_ROWS, TREES, VISITS, SEED = 4096, 2, 4, 20260701
 SAMPLE_PER_LEAF, LEAST_SAMPLE, MAX_DEPTH = 64, 2048, 16
@@ -59,8 +59,9 @@ def in_leaves(vectors: DataFrame, forests: dict[str, Forest], visits: int) -> Da
                 f = forests.get(space)
                 if f is None:
                     continue
-                raw = np.array([np.asarray(x, dtype=np.float32).tobytes() for x in part["x"]], dtype=object)
-                tree, leaf = f.leaves(unit_rows(part["x"]), visits)
+                unit = unit_rows(part["x"])
+                raw = packed(unit)
+                tree, leaf = f.leaves(unit, visits)
                 key = (number[space] << 40) + (tree << 32) + leaf
                 n = key.shape[1]
                 yield pd.DataFrame({"leaf": key.ravel(), "vec_id": np.repeat(part["vec_id"].to_numpy(), n), "raw": np.repeat(raw, n)})
@@ -106,7 +107,7 @@ def similar_in_leaves(placed: DataFrame, least: float, k: int) -> DataFrame:
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("vec_id")
-        unit = unit_rows(rows["raw"].map(lambda r: np.frombuffer(r, dtype=np.float32)))
+        unit = unpacked(rows["raw"])
         a, b, s = best_of_block(rows["vec_id"].to_numpy(), unit, least, k)
         return pd.DataFrame({"vec": a, "other": b, "sim": s})
 

@@ -31,6 +31,31 @@ def unit_rows(xs: pd.Series) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True) if len(m) else m
 
 
+def packed(unit: np.ndarray) -> np.ndarray:
+    """Rows as bytes, 20 bits a coordinate relative to the row's largest one; cosines keep about six and a half places."""
+    q = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * (1 << 19) - 0.5).astype(np.int32) + (1 << 19)
+    low = (q & 15).astype(np.uint8)
+    if low.shape[1] % 2:
+        low = np.pad(low, ((0, 0), (0, 1)))
+    high, low = (q >> 4).astype("<u2"), low[:, ::2] | low[:, 1::2] << 4
+    out = np.empty(len(unit), dtype=object)
+    out[:] = [h.tobytes() + b.tobytes() for h, b in zip(high, low)]
+    return out
+
+
+def unpacked(rows: pd.Series) -> np.ndarray:
+    """Unit rows from ``packed`` ones of one width; an odd width is told by the length."""
+    if not len(rows):
+        return np.empty((0, 1))
+    size = len(rows.iloc[0])
+    width = size * 2 // 5 if size % 5 == 0 else (2 * size - 1) // 5
+    raw = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), size)
+    high = np.ascontiguousarray(raw[:, : 2 * width]).view("<u2").astype(np.int64)
+    low = np.stack([raw[:, 2 * width :] & 15, raw[:, 2 * width :] >> 4], axis=2).reshape(len(rows), -1)[:, :width]
+    unit = ((high << 4) + low - (1 << 19)).astype(np.float64) + 0.5
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
 def large_copy_classes(sound: DataFrame) -> tuple[dict[str, int], pd.DataFrame]:
     """Rows by space, and the large classes of exact copies: (space, mark, rep, ids), ids being the six smallest.
 
@@ -39,7 +64,7 @@ def large_copy_classes(sound: DataFrame) -> tuple[dict[str, int], pd.DataFrame]:
     """
     marked = sound.select("space", "vec_id", F.xxhash64("space", "x").alias("mark"))
     classes = marked.groupBy("space", "mark").agg(F.count("*").alias("n"))
-    sizes = {r["space"]: int(r["n"]) for r in classes.groupBy("space").agg(F.sum("n").alias("n")).collect()}
+    sizes = {r["space"]: int(r["n"]) for r in sound.groupBy("space").agg(F.count("*").alias("n")).collect()}
     least = max(COPY_ROWS, int(sum(sizes.values()) * COPY_SHARE))
     heavy = classes.where(F.col("n") >= least).select("space", "mark")
     if heavy.isEmpty():
