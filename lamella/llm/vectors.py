@@ -33,7 +33,7 @@ def unit_rows(xs: pd.Series) -> np.ndarray:
 
 def packed(unit: np.ndarray) -> np.ndarray:
     """Rows as bytes, 20 bits a coordinate relative to the row's largest one; cosines keep about six and a half places."""
-    q = np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * (1 << 19) - 0.5).astype(np.int32) + (1 << 19)
+    q = np.minimum(np.floor(unit / np.abs(unit).max(axis=1, keepdims=True) * (1 << 19)).astype(np.int32) + (1 << 19), (1 << 20) - 1)
     low = (q & 15).astype(np.uint8)
     if low.shape[1] % 2:
         low = np.pad(low, ((0, 0), (0, 1)))
