@@ -21,10 +21,10 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return t.nan_to_null(t.latest(table(spark, d, "tile_features"), ["tile_id"], "loaded_at")).drop("loaded_at")
 
 
-@query(f"WITH {TILES} SELECT batch, sample_id, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in FEATURES) + ", count(*) AS n_tiles FROM tiles GROUP BY batch, sample_id")
+@query(f"WITH {TILES} SELECT batch, sample_id, " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in FEATURES) + ", count(*) AS n_tiles FROM tiles GROUP BY batch, sample_id")
 def agg_spot_rollup(spark, d):
     """AGG-1, AGG-2: the mean of every feature by spot, with the number of tiles."""
-    return tiles(spark, d).groupBy("batch", "sample_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in FEATURES], F.count("*").alias("n_tiles"))
+    return tiles(spark, d).groupBy("batch", "sample_id").agg(*[F.round(F.avg(c), 9).alias(c) for c in FEATURES], F.count("*").alias("n_tiles"))
 
 
 @query(f"WITH {TILES} SELECT scan, round(median(porosity_frac), 6) AS med, count(DISTINCT sample_id) AS n_spots, count(DISTINCT sample_id) > 1 AS several, bool_and(porosity_frac >= 0) AS all_ok, bool_or(porosity_frac > 0.3) AS any_high FROM tiles GROUP BY scan")
