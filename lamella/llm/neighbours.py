@@ -1,7 +1,7 @@
 """Problem 1: the most similar vectors of every vector, by a forest of random-projection trees and exact reranking.
 
 Every vector is placed in the leaves that a shared priority queue over the trees gives it (packed to 20 bits a coordinate, which
-leaves cosines right to about 3e-7), and within each leaf all vectors are compared with each other; so a pair is found if the two share one of their leaves. Spaces of up to ``leaf_rows`` vectors
+leaves cosines right to about 1e-6), and within each leaf all vectors are compared with each other; so a pair is found if the two share one of their leaves. Spaces of up to ``leaf_rows`` vectors
 are one leaf and thus exact. The trees' thresholds come from a bounded sample (SAMPLE_PER_LEAF rows a leaf and at least
 LEAST_SAMPLE a space); every vector is indexed. Large classes of exact copies take part with one representative that stands
 for its six smallest ids, which is all that any list of five can need.
