@@ -51,14 +51,44 @@ def pooled(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
     return m.select(*keys, F.transform("e", lambda e: e["m"]).alias("mean"), F.transform("e", lambda e: e["s"]).alias("sd"))
 
 
-def nearest_rows(df: DataFrame, key: str, vec: str, k: int, allowed: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """The k most similar rows (cosine; equal: smaller key) of every row, exactly. For evaluation sets of bounded size: the work
-    is quadratic; the approximate search is an operator of its own."""
-    a = df.select(F.col(key).alias("a"), F.col(vec).alias("va"), *[F.col(c).alias(f"{c}_a") for c in keep])
-    b = df.select(F.col(key).alias("b"), F.col(vec).alias("vb"), *[F.col(c).alias(f"{c}_b") for c in keep])
-    rule = F.col("a") != F.col("b")
-    p = a.join(b, rule if allowed is None else rule & allowed).select("a", "b", F.round(dot("va", "vb"), 9).alias("sim"), *[f"{c}_{s}" for c in keep for s in "ab"])
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= k)
+def nearest_rows(df: DataFrame, key: str, vec: str, k: int, differ: str | None = None, keep: Sequence[str] = (), block: int = 1024) -> DataFrame:
+    """The k most similar rows (cosine of unit vectors to 9 places; equal: smaller key) of every row, exactly.
+
+    For evaluation sets: the work is quadratic, done in pairs of blocks of about ``block`` rows whose best k are merged; the
+    approximate search is an operator of its own. With ``differ``, only rows of another value of that column count.
+    """
+    import numpy as np
+    import pandas as pd
+
+    blocks = max(1, -(-df.count() // block))
+    kinds = dict(df.dtypes)
+    cols = [key, vec, *dict.fromkeys([*keep, *([differ] if differ else [])])]
+    rows = df.select(*cols).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    asks = rows.withColumn("_o", F.explode(every)).select((F.col("_b") * blocks + F.col("_o")).alias("_p"), F.lit(True).alias("_ask"), *cols)
+    gives = rows.withColumn("_o", F.explode(every)).select((F.col("_o") * blocks + F.col("_b")).alias("_p"), F.lit(False).alias("_ask"), *cols)
+    out = ["a", "b", "sim", *[f"{c}_{s}" for c in keep for s in "ab"]]
+    schema = f"a {kinds[key]}, b {kinds[key]}, sim double" + "".join(f", {c}_{s} {kinds[c]}" for c in keep for s in "ab")
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = part[part["_ask"]].reset_index(drop=True), part[~part["_ask"]].sort_values(key).reset_index(drop=True)
+        if not len(x) or not len(y):
+            return pd.DataFrame(columns=out)
+        sim = np.round(np.stack(x[vec]) @ np.stack(y[vec]).T, 9)
+        sim[x[key].to_numpy()[:, None] == y[key].to_numpy()[None, :]] = -9
+        if differ:
+            sim[x[differ].to_numpy()[:, None] == y[differ].to_numpy()[None, :]] = -9
+        at = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        i, j = np.repeat(np.arange(len(x)), at.shape[1]), at.ravel()
+        ok = sim[i, j] > -9
+        i, j = i[ok], j[ok]
+        got = {"a": x[key].to_numpy()[i], "b": y[key].to_numpy()[j], "sim": sim[i, j]}
+        for c in keep:
+            got |= {f"{c}_a": x[c].to_numpy()[i], f"{c}_b": y[c].to_numpy()[j]}
+        return pd.DataFrame(got)[out]
+
+    near = asks.unionByName(gives).groupBy("_p").applyInPandas(best, schema)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= k)
 
 
 def votes(neighbours: DataFrame, label: str, k: int) -> DataFrame:

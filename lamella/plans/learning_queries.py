@@ -64,7 +64,7 @@ def knn_top(spark, d):
 def knn_vote(spark, d):
     """KNN-1, KNN-4: votes of neighbours from other sessions."""
     u = vectors(spark, d).withColumn("u", l.unit("x"))
-    return l.votes(l.nearest_rows(u, "vec_id", "u", 5, F.col("s_a") != F.col("s_b"), ["s", "y"]), "y_b", 5)
+    return l.votes(l.nearest_rows(u, "vec_id", "u", 5, "s", ["s", "y"]), "y_b", 5)
 
 
 @query(NEAR.format(where="") + ", c AS (SELECT s, count(*) AS n FROM vec GROUP BY s) SELECT round(avg((sa = sb)::INT), 9) AS rate, (SELECT round(sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)), 9) FROM c) AS chance FROM n WHERE rank = 1")
