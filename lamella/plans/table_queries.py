@@ -286,12 +286,12 @@ def win_mid_rank_cdf(spark, d):
     return o.mid_rank_cdf(table(spark, d, "lineitem"), "l_quantity").withColumn("cdf", F.round("cdf", 9))
 
 
-@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS high, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low_after, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS demeaned FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query("SELECT event_id, round(sum(value) OVER w, 4) AS total, max(value) OVER w AS high, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low_after, round(value - avg(value) OVER (PARTITION BY user_id), 10) AS demeaned FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def win_cumulative(spark, d):
     """WIN-3, WIN-4."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(back), 4).alias("total"), F.max("value").over(back).alias("high"), F.min("value").over(ahead).alias("low_after"), F.round(F.col("value") - F.avg("value").over(Window.partitionBy("user_id")), 6).alias("demeaned"))
+    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(back), 4).alias("total"), F.max("value").over(back).alias("high"), F.min("value").over(ahead).alias("low_after"), F.round(F.col("value") - F.avg("value").over(Window.partitionBy("user_id")), 10).alias("demeaned"))
 
 
 @query("WITH c AS (SELECT user_id, event_type, ts, event_id, (lag(event_type) OVER w IS DISTINCT FROM event_type)::INT AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM c) SELECT user_id, run::BIGINT AS run, event_type, count(*) AS length FROM r GROUP BY ALL")
