@@ -312,7 +312,7 @@ def cluster_members(vectors: DataFrame, spaces: DataFrame, least: float = 0.90,
     members = labels.join(single.select(F.col("vec_id").alias("vec"), "x"), "vec")
     found = _small(members.join(large, "label", "left_anti"), least)
     if not large.isEmpty():
-        found = found.unionByName(_large(members.join(large, "label", "left_semi"), core))
+        found = found.unionByName(_large(members.join(large, "label", "left_semi"), least, core, block))
     if heavy.empty:
         return found.distinct()
     marks = spark.createDataFrame(heavy[["mark", "rep"]].astype("int64"))
@@ -341,11 +341,79 @@ def _small(members: DataFrame, least: float) -> DataFrame:
     return by_group(members, "label", settle, "vec_id bigint, typical_id bigint")
 
 
-def _large(members: DataFrame, core: float) -> DataFrame:
-    """Linked sets of more than BLOCK vectors: those within half the angle of the mean are similar to each other without
-    comparing them, and a member's mean cosine follows from the sum of all, so the work is linear."""
+def _peeled(unit: np.ndarray, weight: np.ndarray, least: float, chunk: int = 512) -> list[np.ndarray]:
+    """Sets of weight 3 or more in which every two rows are similar: of the row of highest degree and its partners those with
+    the fewest partners go until all are similar, then the rest follows. Similarities are made as needed, never kept as a square."""
+    near = lambda a, b: a @ b.T >= least - 5e-7  # noqa: E731  (at six places)
+
+    def degrees(of: np.ndarray, among: np.ndarray) -> np.ndarray:
+        return np.concatenate([near(unit[of[i : i + chunk]], unit[among]) @ weight[among] for i in range(0, len(of), chunk)]) if len(of) else np.zeros(0)
+
+    left, out = np.arange(len(unit)), []
+    degree = degrees(left, left)
+    while len(left) and degree.max() >= 3:
+        start = left[degree.argmax()]
+        pick = left[near(unit[left], unit[start])]
+        inner = degrees(pick, pick)
+        while (inner < weight[pick].sum()).any():
+            worst = inner.argmin()
+            inner = inner - weight[pick[worst]] * near(unit[pick], unit[pick[worst]])
+            pick, inner = np.delete(pick, worst), np.delete(inner, worst)
+        gone = pick if weight[pick].sum() >= 3 else np.array([start])
+        if gone is pick:
+            out.append(pick)
+        stay = ~np.isin(left, gone)
+        left, degree = left[stay], degree[stay]
+        degree = degree - degrees(left, gone)
+    return out
+
+
+def _compared(rows: DataFrame, least: float, block: int, sums: bool = False) -> DataFrame:
+    """What the rows that ask find among all rows of their set, in pairs of blocks: (label, vec, weight, k1, k2) summed over
+    their partners, themselves included, or with ``sums`` (label, vec, total) of all cosines at six places. Without ``sums``
+    the rows that do not ask get the sums over their partners among those that do."""
+    asked = rows.where("asks")
+    n = rows.groupBy("label").agg(F.ceil(F.count("*") / block).alias("wide")).join(asked.groupBy("label").agg(F.ceil(F.count("*") / block).alias("deep")), "label")
+    lot = lambda of, seed: F.pmod(F.xxhash64("vec", F.lit(seed)), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of) - 1))
+    held = ["label", "vec", "weight", "k1", "k2", "x", "asks"]
+    left = asked.join(F.broadcast(n), "label").select(*held, F.lit(True).alias("left"), lot("deep", 1).alias("i"), every("wide").alias("j"))
+    right = rows.join(F.broadcast(n), "label").select(*held, F.lit(False).alias("left"), every("deep").alias("i"), lot("wide", 2).alias("j"))
+
+    def work(p: pd.DataFrame) -> pd.DataFrame:
+        a, b = p[p["left"]], p[~p["left"]]
+        u, v = unit_rows(a["x"]), unit_rows(b["x"])
+        of_a, of_b = (q[["weight", "k1", "k2"]].to_numpy(dtype=np.float64) for q in (a, b))
+        got_a, got_b = np.zeros((len(a), 3)), np.zeros((len(b), 3))
+        for i in range(0, len(a) if len(b) else 0, 512):
+            s = u[i : i + 512] @ v.T
+            if sums:
+                got_a[i : i + 512, 0] = np.round(s, 6) @ of_b[:, 0]
+                continue
+            near = (s >= least - 5e-7).astype(np.float64)
+            got_a[i : i + 512] = near @ of_b
+            got_b += near.T @ of_a[i : i + 512]
+        quiet = ~b["asks"].to_numpy(dtype=bool) & (not sums)
+        got = np.concatenate([got_a, got_b[quiet]])
+        out = pd.DataFrame({"label": p["label"].iloc[0], "vec": np.concatenate([a["vec"], b["vec"][quiet]])})
+        if sums:
+            return out.assign(total=got[:, 0])
+        return out.assign(weight=got[:, 0], k1=got[:, 1].astype(np.int64), k2=got[:, 2].astype(np.int64))
+
+    names = ["total"] if sums else ["weight", "k1", "k2"]
+    schema = "label bigint, vec bigint, " + ("total double" if sums else "weight double, k1 bigint, k2 bigint")
+    return left.unionByName(right).groupBy("label", "i", "j").applyInPandas(work, schema).groupBy("label", "vec").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _large(members: DataFrame, least: float, core: float, block: int) -> DataFrame:
+    """Linked sets of more than BLOCK vectors, settled exactly. Vectors within half the angle of the mean are similar to each
+    other without comparing them; the others are compared with the whole set. Vectors with the same partners (by weight and
+    two sums of 30-bit keys) are similar to each other and go together: one of each kind is enough to find the cliques, and a
+    set that is a clique as a whole has one kind. The typical member is the best of those whose mean cosine, which follows
+    from the sum of all, lies within the rounding of the largest one."""
+    key = lambda seed: F.pmod(F.xxhash64("vec", F.lit(seed)), F.lit(1 << 30))
     unit = members.dropDuplicates(["vec"]).withColumn("n", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v)))
-    unit = unit.select("label", "vec", "weight", F.transform("x", lambda v: v.cast("double") / F.col("n")).alias("u"))
+    unit = unit.select("label", "vec", "weight", "x", F.transform("x", lambda v: v.cast("double") / F.col("n")).alias("u"), key(3).alias("k1"), key(4).alias("k2"))
 
     def total(of: DataFrame) -> DataFrame:
         s = of.select("label", "weight", F.posexplode("u")).groupBy("label", "pos").agg(F.sum(F.col("col") * F.col("weight")).alias("s"))
@@ -353,11 +421,30 @@ def _large(members: DataFrame, core: float) -> DataFrame:
         return s.join(of.groupBy("label").agg(F.sum("weight").alias("size")), "label")
 
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    near = unit.join(total(unit), "label").where(dot("u", "sum") / F.sqrt(dot("sum", "sum")) >= core).drop("sum", "size")
-    mean = F.round((dot("u", "sum") - 1) / (F.col("size") - 1), 6)
-    scored = near.join(total(near), "label").where("size >= 3").select("label", "vec", mean.alias("mean"))
-    best = scored.groupBy("label").agg(F.min_by("vec", F.struct(-F.col("mean"), F.col("vec"))).alias("typical_id"))
-    return scored.join(best, "label").select(F.col("vec").alias("vec_id"), "typical_id")
+    marked = cut(unit.join(total(unit), "label").withColumn("asks", ~F.coalesce(dot("u", "sum") / F.sqrt(dot("sum", "sum")) >= core, F.lit(False))).drop("sum", "size"))
+    seen = _compared(marked, least, block).select("label", "vec", F.struct("weight", "k1", "k2").alias("seen"))
+    inner = marked.where("NOT asks").groupBy("label").agg(F.struct(*(F.sum(c).alias(c) for c in ("weight", "k1", "k2"))).alias("inner"))
+    kind = [(F.coalesce(f"seen.{c}", F.lit(0)) + F.when(F.col("asks"), F.lit(0)).otherwise(F.col(f"inner.{c}"))).alias(f"n_{c}") for c in ("weight", "k1", "k2")]
+    known = cut(marked.join(seen, ["label", "vec"], "left").join(inner, "label", "left").select("label", "vec", "weight", "x", "u", "k1", "k2", *kind))
+    same = ["label", "n_weight", "n_k1", "n_k2"]
+    kinds = cut(known.groupBy(*same).agg(F.min_by(F.struct("vec", "x"), "vec").alias("one"), F.sum("weight").alias("weight")))
+
+    def peel(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("vec")
+        ids = p["vec"].to_numpy()
+        got = _peeled(unit_rows(p["x"]), p["weight"].to_numpy(), least)
+        return pd.DataFrame([(int(i), int(ids[g].min())) for g in got for i in ids[g]], columns=["one", "clique"], dtype="int64")
+
+    cliques = kinds.select("label", "weight", "one.*").groupBy("label").applyInPandas(peel, "one bigint, clique bigint")
+    named = known.join(kinds.select(*same, F.col("one.vec").alias("one")), same).join(cliques, "one").select(F.col("clique").alias("label"), "vec", "weight", "x", "u", "k1", "k2")
+    named = cut(named)
+    scored = named.join(total(named), "label").withColumn("mean", (dot("u", "sum") - 1) / (F.col("size") - 1)).drop("sum")
+    top = scored.groupBy("label").agg(F.max("mean").alias("top"))
+    close = cut(scored.join(top, "label").withColumn("asks", F.col("mean") >= F.col("top") - 2.1e-6).drop("u", "mean", "top"))
+    exact = _compared(close, least, block, sums=True).join(close.select("label", "size").distinct(), "label")
+    mean = F.round((F.col("total") - 1) / (F.col("size") - 1), 6)
+    best = exact.groupBy("label").agg(F.min_by("vec", F.struct(-mean, F.col("vec"))).alias("typical_id"))
+    return close.join(best, "label").select(F.col("vec").alias("vec_id"), "typical_id")
 
 
 def cluster_sizes(vectors: DataFrame, spaces: DataFrame) -> DataFrame:

@@ -113,3 +113,37 @@ def test_packing_keeps_cosines():
         u /= np.linalg.norm(u, axis=1, keepdims=True)
         v = vectors.unpacked(pd.Series(vectors.packed(u)))
         assert np.abs(u @ u.T - v @ v.T).max() < 3e-6
+
+
+def spread_cluster(r, n, d, cosine):
+    """n vectors whose cosines to each other lie close to ``cosine``."""
+    c = r.standard_normal(d)
+    c /= np.linalg.norm(c)
+    noise = r.standard_normal((n, d)) / np.sqrt(d)
+    noise -= np.outer(noise @ c, c)
+    return c + noise * np.sqrt(1 / cosine - 1)
+
+
+def test_large_sets_keep_members_far_from_the_mean(spark):
+    """Cosines of 0.90 to 0.95 throughout: about sqrt(0.93) = 0.964 to the mean, outside half the angle."""
+    r = np.random.default_rng(2)
+    xs = [*spread_cluster(r, 40, 320, 0.93), *spread_cluster(r, 30, 320, 0.99), *r.standard_normal((20, 320))]
+    rows = [(i + 1, "a", x.astype(np.float32)) for i, x in enumerate(xs)]
+    want = brute_clusters(rows)
+    assert len(want) == 70
+    found = {x["vec_id"]: x["typical_id"] for x in clusters.cluster_members(table(spark, rows), spaces(spark, ("a", 320)), block=8).collect()}
+    assert found == want
+
+
+def test_large_set_of_several_cliques(spark):
+    """Two cliques of 20 joined by one row in between that is similar to some of either."""
+    at = np.zeros((41, 4))
+    for i in range(20):
+        at[i, :2] = np.cos(0.001 * i), np.sin(0.001 * i)
+        at[20 + i, :2] = np.cos(0.8 + 0.001 * i), np.sin(0.8 + 0.001 * i)
+    at[40, :2] = np.cos(0.41), np.sin(0.41)  # within 0.451 of all of both
+    rows = [(i + 1, "a", x.astype(np.float32)) for i, x in enumerate(at)]
+    got = clusters.cluster_members(table(spark, rows), spaces(spark, ("a", 4)), block=8).collect()
+    found = {x["vec_id"]: x["typical_id"] for x in got}
+    assert len(got) == len(found) == 41
+    assert len({found[i] for i in range(1, 21)}) == 1 and len({found[i] for i in range(21, 41)}) == 1 and found[1] != found[21]
