@@ -147,3 +147,25 @@ def test_large_set_of_several_cliques(spark):
     found = {x["vec_id"]: x["typical_id"] for x in got}
     assert len(got) == len(found) == 41
     assert len({found[i] for i in range(1, 21)}) == 1 and len({found[i] for i in range(21, 41)}) == 1 and found[1] != found[21]
+
+
+def test_copies_survive_a_neighbour_just_out_of_reach(spark, monkeypatch):
+    """A cosine of 0.8995 is a link of the half-precision pass but not a similarity; the copies are a cluster all the same."""
+    monkeypatch.setattr(vectors, "COPY_ROWS", 20)
+    hot, near = np.zeros(8), np.zeros(8)
+    hot[0], near[:2] = 1, (0.8995, np.sqrt(1 - 0.8995**2))
+    rows = [(i + 1, "a", hot) for i in range(30)] + [(40, "a", near)]
+    rows = [(i, s, x.astype(np.float32)) for i, s, x in rows]
+    found = {x["vec_id"]: x["typical_id"] for x in clusters.cluster_members(table(spark, rows), spaces(spark, ("a", 8))).collect()}
+    assert found == brute_clusters(rows) == {i: 1 for i in range(1, 31)}
+
+
+def test_cliques_go_on_after_a_start_that_yields_none():
+    """A hub with four partners that are not similar to each other has no clique of three; the triangle beside it has."""
+    hub = np.zeros((8, 8))
+    hub[0, 0] = 1
+    for i in range(4):
+        hub[1 + i, [0, 1 + i]] = 0.91, np.sqrt(1 - 0.91**2)
+    hub[5:, 7] = 1
+    got = clusters.typical_of(np.arange(1, 9), hub, np.ones(8), 0.9)
+    assert got == [(6, 6), (7, 6), (8, 6)]
