@@ -169,3 +169,13 @@ def test_cliques_go_on_after_a_start_that_yields_none():
     hub[5:, 7] = 1
     got = clusters.typical_of(np.arange(1, 9), hub, np.ones(8), 0.9)
     assert got == [(6, 6), (7, 6), (8, 6)]
+
+
+def test_partners_that_share_only_their_third_cell(spark, monkeypatch):
+    """The nearest two cells of the first two rows are 0 and 1, of the third 4 and 3; all three have cell 2 as third."""
+    monkeypatch.setattr(clusters, "seed_centroids", lambda sample, cells: {})
+    monkeypatch.setattr(clusters, "move_centroids", lambda sample, centers: ({"a": np.eye(5, dtype=np.float32)}, {"a": np.ones(5)}))
+    x = np.array([0.5, 0.45, 0.4, 0.35, 0.3])
+    rows = [(1, "a", x.astype(np.float32)), (2, "a", (x + [0.01, 0, 0, 0, 0]).astype(np.float32)), (3, "a", x[::-1].astype(np.float32))]
+    found = {r["vec_id"]: r["typical_id"] for r in clusters.cluster_members(table(spark, rows), spaces(spark, ("a", 5))).collect()}
+    assert found == brute_clusters(rows) and len(found) == 3
