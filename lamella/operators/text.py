@@ -71,6 +71,17 @@ def quote_found(quote: Column, text: Column) -> Column:
     return F.when(n < 8, False).otherwise(hit(F.floor(n / 3).cast("int") + 1) | hit(F.lit(2)) | hit(n - 5))
 
 
+def quotes(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of all pairs for which ``quote_found`` holds: the pieces of the items joined with the runs of five words."""
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), " ")
+    run = lambda w, at: F.array_join(F.slice(w, at, F.lit(5)), " ")
+    three = lambda w: F.when(F.size(w) >= 8, F.array(run(w, F.floor(F.size(w) / 3).cast("int") + 1), run(w, F.lit(2)), run(w, F.size(w) - 5)))
+    every = lambda w: F.when(F.size(w) >= 5, F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda at: run(w, at)))
+    once = lambda c, of: F.explode(F.array_distinct(F.transform(F.array(words(c)), of)[0]))  # noqa: E731  (the words are made once a text)
+    pieces = items.select("item_id", once(F.col("text"), three).alias("piece")).distinct()
+    return docs.select("doc_id", once(F.col("text"), every).alias("piece")).join(pieces, "piece").select("doc_id", "item_id").distinct()
+
+
 def consensus(answers: DataFrame, keys: list[str], direction: str, least: int = 3, share: float = 0.7) -> DataFrame:
     """too few, more, less, optimum or mixed, with the counts."""
     n = lambda v: F.count_if(F.col(direction) == v)

@@ -61,9 +61,8 @@ def txt_name_match(spark, d):
 
 @query()
 def evd_quotes(spark, d):
-    """EVD-1: items quoted by the document that stands next to them in number, by three pieces of five words."""
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items").select("item_id", F.col("text").alias("quote"))
-    return docs.withColumn("item_id", F.col("doc_id") % 240).join(items, "item_id").select("doc_id", "item_id", F.coalesce(t.quote_found(F.col("quote"), F.col("text")), F.lit(False)).alias("found"))
+    """EVD-1: (doc_id, item_id) of every item quoted by a document, by three pieces of five words."""
+    return t.quotes(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 @query("WITH c AS (SELECT source, count(*) FILTER (relevance = 'core') AS more, count(*) FILTER (relevance = 'method') AS less, count(*) FILTER (relevance = 'peripheral') AS optimum, count(*) AS n FROM documents WHERE relevance IS NOT NULL GROUP BY source) SELECT source, more, less, optimum, n, CASE WHEN n < 3 THEN 'too few' WHEN more >= 0.7 * n THEN 'more' WHEN less >= 0.7 * n THEN 'less' WHEN optimum >= 0.7 * n THEN 'optimum' ELSE 'mixed' END AS consensus FROM c")
