@@ -69,7 +69,7 @@ def knn_vote(spark, d):
 
 @query(NEAR.format(where="") + ", c AS (SELECT s, count(*) AS n FROM vec GROUP BY s) SELECT round(avg((sa = sb)::INT), 9) AS rate, (SELECT round(sum(n * (n - 1)) / (sum(n) * (sum(n) - 1)), 9) FROM c) AS chance FROM n WHERE rank = 1")
 def knn_session_rate(spark, d):
-    """KNN-2: how often the nearest one shares the session, and what chance gives."""
+    """KNN-2 in part, without the label permutation: how often the nearest one shares the session, and what chance gives."""
     x = vectors(spark, d)
     n = l.nearest_rows(x.withColumn("u", l.unit("x")), "vec_id", "u", 1, None, ["s"])
     c = x.groupBy("s").agg(F.count("*").alias("n")).agg(F.round(F.sum(F.col("n") * (F.col("n") - 1)) / (F.sum("n") * (F.sum("n") - 1)), 9).alias("chance"))

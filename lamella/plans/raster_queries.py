@@ -180,7 +180,7 @@ _G = f"WITH {PX}, q AS (SELECT img, y, x, least(greatest(floor((v + 0.4) / 0.8 *
 
 @query(_G + " FROM c")
 def tex_co_occurrence(spark, d):
-    """TEX-1."""
+    """TEX-1 in part: one step to the right."""
     return r.co_occurrence(image(spark, d), 8, -0.4, 0.4, 0, 1)
 
 

@@ -28,7 +28,7 @@ _TOK = "list_transform(list_filter(string_split_regex(lower(coalesce(title, ''))
 
 @query(f"SELECT doc_id, array_to_string({_TOK}, ' ') AS words FROM documents")
 def txt_tokens(spark, d):
-    """TXT-3."""
+    """TXT-3 in part: without synonyms and stop words."""
     return table(spark, d, "documents").select("doc_id", F.array_join(t.tokens(F.coalesce("title", F.lit(""))), " ").alias("words"))
 
 
@@ -38,7 +38,7 @@ w AS (SELECT item_id, tf.term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM d))
 
 @query("WITH d AS (SELECT item_id, " + _TOK.replace("coalesce(title, '')", "text") + " AS w FROM eval_items)" + _TF + " SELECT a.item_id AS a, b.item_id AS b, round(sum(a.w * b.w), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.item_id < b.item_id GROUP BY 1, 2")
 def txt_tfidf_pairs(spark, d):
-    """TXT-4, TXT-7: sub-linear TF-IDF cosine of a fixed set of items, joined on terms."""
+    """TXT-4 in part: sub-linear TF-IDF cosine over single words of a fixed set of items, joined on terms."""
     i = table(spark, d, "eval_items").select("item_id", t.tokens(F.col("text")).alias("w"))
     u = t.tfidf(i, "item_id", "w")
     p = t.similar_texts(u.withColumnRenamed("item_id", "a"), u.withColumnRenamed("item_id", "b"), "a", "b")
