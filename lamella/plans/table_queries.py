@@ -66,6 +66,13 @@ def agg_transposed_means(spark, d):
     return long.groupBy("name").agg(m(1).alias("s1"), m(2).alias("s2"))
 
 
+@query(f"WITH {TILES} SELECT scan, name, round(avg(v), 6) AS mean FROM (UNPIVOT (SELECT scan, {', '.join(FEATURES)} FROM tiles) ON {', '.join(FEATURES)} INTO NAME name VALUE v) WHERE v IS NOT NULL GROUP BY scan, name")
+def agg_means_by_scan(spark, d):
+    """AGG-9 over all features and all scans, in long form; a feature without values in a scan has no row."""
+    long = t.unpivot(tiles(spark, d), ["scan"], list(FEATURES), value="v").where("v IS NOT NULL")
+    return long.groupBy("scan", "name").agg(F.round(F.avg("v"), 6).alias("mean"))
+
+
 _WQ = """, g AS (SELECT l_returnflag AS k, l_discount AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
 c AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY v) AS cum, sum(w) OVER (PARTITION BY k) AS total FROM g),
 r AS (SELECT k, v, {p} AS p FROM c), l AS (SELECT *, lag(p) OVER (PARTITION BY k ORDER BY v) AS p0, lag(v) OVER (PARTITION BY k ORDER BY v) AS v0 FROM r)
