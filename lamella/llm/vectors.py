@@ -101,27 +101,30 @@ class Forest:
     def directions(seed: int, tree: int, depth: int, dims: int) -> np.ndarray:
         return np.random.default_rng((seed, tree)).standard_normal((dims, depth)).astype(np.float32)
 
+    @staticmethod
+    def split(p: np.ndarray, depth: int) -> np.ndarray:
+        """The thresholds of one tree from the projections of its sample (rows x levels)."""
+        t, node = np.zeros(1 << depth, dtype=np.float32), np.ones(len(p), dtype=np.int64)
+        for level in range(depth):
+            order = np.lexsort((p[:, level], node))
+            starts = np.searchsorted(node[order], np.arange(1 << level, 2 << level))
+            ends = np.append(starts[1:], len(order))
+            for n, (a, b) in enumerate(zip(starts, ends)):
+                if b > a:  # sorted already: the middle is the median
+                    t[(1 << level) + n] = (p[order[(a + b - 1) // 2], level] + p[order[(a + b) // 2], level]) / 2
+            node = 2 * node + (p[:, level] > t[node])
+        return t
+
     @classmethod
     def fit(cls, sample: np.ndarray, depth: int, trees: int, seed: int) -> Forest:
-        t = np.zeros((trees, 1 << depth), dtype=np.float32)
-        for k in range(trees):
-            p = sample.astype(np.float32) @ cls.directions(seed, k, depth, sample.shape[1])
-            node = np.ones(len(p), dtype=np.int64)
-            for level in range(depth):
-                order = np.lexsort((p[:, level], node))
-                starts = np.searchsorted(node[order], np.arange(1 << level, 2 << level))
-                ends = np.append(starts[1:], len(order))
-                for n, (a, b) in enumerate(zip(starts, ends)):
-                    if b > a:
-                        t[k, (1 << level) + n] = np.median(p[order[a:b], level])
-                node = 2 * node + (p[:, level] > t[k, node])
-        return cls(seed, depth, t)
+        rows = sample.astype(np.float32)
+        return cls(seed, depth, np.stack([cls.split(rows @ cls.directions(seed, k, depth, rows.shape[1]), depth) for k in range(trees)]))
 
     def leaves(self, unit: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
         """(tree, leaf) visited by each row, n x visits.
 
-        One queue holds the open branches of all trees, ordered by the largest margin on the way; the roots come first, then
-        the other sides of the closest splits, whichever tree they are in.
+        One queue holds the open branches of all trees, ordered by the sum of the squared margins crossed on the way; the roots
+        come first, then the other sides of the closest splits, whichever tree they are in.
         """
         n, trees, depth = len(unit), len(self.thresholds), self.depth
         rows = np.arange(n)
@@ -141,7 +144,7 @@ class Forest:
                 go = lv <= step
                 margin = p[rows, k, step] - self.thresholds[k, np.where(go, at, 1)]
                 up = (margin > 0).astype(np.int64)
-                cost[:, used] = np.where(go, np.maximum(c, np.abs(margin)), np.inf)
+                cost[:, used] = np.where(go, c + margin * margin, np.inf)
                 tree[:, used], node[:, used], level[:, used] = k, 2 * at + 1 - up, step + 1
                 at = np.where(go, 2 * at + up, at)
                 used += 1
