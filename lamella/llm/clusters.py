@@ -2,11 +2,13 @@
 
 Centroids of each space are seeded by parallel oversampling (each round draws rows with a probability in proportion to their
 squared distance from the centroids so far) and moved by Lloyd steps, on a bounded hash sample (SAMPLE_PER_CELL rows a
-centroid); then every vector is sent to the cells of its SPILL nearest centroids. Within a cell all pairs are compared exactly
-and each linked vector reports the smallest id of its linked set, so links never leave a task as pairs. Sets that share a
-vector are joined by connected components over the reported ids alone, and every set is then checked to be one in which every
-two are similar. Vectors within half the angle of their centroid are similar to each other without comparing them: cells that
-are expected to outgrow BLOCK rows are split by lot for those, and only the others go to every part.
+centroid); then every vector is sent to the cells of its SPILL nearest centroids, with eight bits a coordinate. Within a cell
+all pairs are compared, with the threshold lowered by what eight bits may be off, and each linked vector reports the smallest
+id of its linked set, so links never leave a task as pairs. Sets that share a vector are joined by connected components over
+the reported ids alone, and every set is then checked, with the vectors themselves in double, to be one in which every two are
+similar. Vectors within half the angle of their centroid (strong ones) are similar to each other without comparing them. Cells
+that are expected to outgrow BLOCK rows are taken in pairs of lots: weak ones with weak ones and weak ones with strong ones, so
+that no task holds more than two lots.
 
 Null, short, NaN, infinite and all-zero vectors take no part; a repeated delivery counts once; large classes of exact copies
 take part with one vector of their weight; an empty table gives an empty result.
@@ -29,8 +31,23 @@ from .plans import by_group, spread
 from .vectors import large_copy_classes, sound_vectors, unit_rows, without_copies
 
 CELL_ROWS, SAMPLE_PER_CELL, SPILL, ROUNDS, STEPS, BLOCK, SEED = 768, 48, 3, 3, 2, 8192, 11
-#: Linking works on half-precision vectors; their cosines are off by less than this, and every set is checked in double later.
-HALF_ERROR = 1e-3
+#: A space has at most so many cells times the root of its rows, which bounds what the driver and the closures hold.
+CELLS = 2
+
+
+def coded(unit: np.ndarray) -> np.ndarray:
+    """Rows as bytes, eight bits a coordinate relative to the row's largest one."""
+    out = np.empty(len(unit), dtype=object)
+    out[:] = [q.tobytes() for q in np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)]
+    return out
+
+
+def decoded(raw: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of coded ones, and what each one's cosines may be off: a coordinate is off by half a step with any sign, so
+    the part along another vector has a deviation of step / sqrt(12); seven of those are allowed for."""
+    q = np.stack([np.frombuffer(r, dtype=np.int8) for r in raw]).astype(np.float64)
+    n = np.linalg.norm(q, axis=1, keepdims=True)
+    return q / n, 7 / math.sqrt(12) / n[:, 0]
 
 
 def _raw(xs: pd.Series) -> np.ndarray:
@@ -143,11 +160,56 @@ def move_centroids(sample: DataFrame, centers: dict[str, np.ndarray], steps: int
     return centers, {s: np.array(n) for s, (_, n) in by.items()}
 
 
-def linked_sets(unit: np.ndarray, ids: np.ndarray, least: float, weak: np.ndarray | None = None, chunk: int = 1024) -> np.ndarray:
+def spread_of(sample: DataFrame, centers: dict[str, np.ndarray], core: float) -> dict[str, np.ndarray]:
+    """Rows of the sample that each cell will hold, by space: (weak, strong) a cell."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, _, _, c in _by_space(b, centers):
+                at, row = _cells(c)
+                key, n = np.unique(at * 2 + (c[row, at] >= core), return_counts=True)
+                yield pd.DataFrame({"space": s, "at": key, "n": n})
+
+    out = {s: np.zeros((len(c), 2)) for s, c in centers.items()}
+    for r in sample.mapInPandas(count, "space string, at bigint, n bigint").groupBy("space", "at").agg(F.sum("n").alias("n")).collect():
+        out[r["space"]][divmod(r["at"], 2)] = r["n"]
+    return out
+
+
+def _cells(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, row) of the SPILL nearest centroids of each row, from its cosines to all of them."""
+    n = min(SPILL, c.shape[1])
+    near = np.argpartition(-c, n - 1, axis=1)[:, :n] if n < c.shape[1] else np.tile(np.arange(n), (len(c), 1))
+    return near.ravel(), np.repeat(np.arange(len(c)), n)
+
+
+def _blocks(rows: np.ndarray, strong: np.ndarray, weak_lots: np.ndarray, strong_lots: np.ndarray, lot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, block, place in rows) of every copy. No lots: block 0 for all. Else a weak row of lot q goes to the blocks (q, p) of
+    all lots p of strong rows and to (q, j) of all lots of weak rows; a strong one of lot p to the blocks (q, p) of all q."""
+    whole = np.flatnonzero(weak_lots == 0)
+    at, block = [whole], [np.zeros(len(whole), dtype=np.int64)]
+    many = np.flatnonzero(weak_lots > 0)
+
+    def add(own: np.ndarray, times: np.ndarray, number) -> None:
+        again = np.repeat(own, times)
+        nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+        at.append(again)
+        block.append(number(again, nth))
+
+    w, s = many[~strong[many]], many[strong[many]]
+    q, p = lot % np.maximum(weak_lots, 1), lot % np.maximum(strong_lots, 1)
+    add(w, strong_lots[w], lambda r, n: 1 + q[r] * strong_lots[r] + n)
+    add(s, weak_lots[s], lambda r, n: 1 + n * strong_lots[r] + p[r])
+    add(w, weak_lots[w], lambda r, n: 1 + weak_lots[r] * strong_lots[r] + np.minimum(q[r], n) * weak_lots[r] + np.maximum(q[r], n))
+    return rows[np.concatenate(at)], np.concatenate(block), np.concatenate(at)
+
+
+def linked_sets(unit: np.ndarray, ids: np.ndarray, least: float, weak: np.ndarray | None = None, chunk: int = 1024, off: np.ndarray | None = None) -> np.ndarray:
     """The smallest id of each row's linked set (its own where it has no link); only rows of ``weak`` are compared if given.
 
-    Single precision decides all but the pairs next to the threshold, which double precision decides. Each row is joined to
-    its first partner; of the other pairs only those that still join two sets are looked at one by one.
+    Each row is joined to its first partner; of the other pairs only those that still join two sets are looked at one by one.
+    With ``off``, what each row's cosines may be off, the threshold is lowered by that of both rows (in root of squares);
+    without it, double precision decides the pairs next to the threshold.
     """
     n = len(ids)
     small, label = unit.astype(np.float32), np.arange(n)
@@ -181,13 +243,15 @@ def linked_sets(unit: np.ndarray, ids: np.ndarray, least: float, weak: np.ndarra
         own = rows[i : i + chunk]
         s = small[own] @ small.T
         s[np.arange(len(own)), own] = -2
-        sure = s >= least + 1e-5
+        sure = s >= (least + 1e-5 if off is None else least - np.hypot(off[own][:, None], off[None, :]).astype(np.float32))
         first = sure.argmax(axis=1)
         some = sure[np.arange(len(own)), first]
         join(own[some], first[some])
         r = roots()
         a, b = np.nonzero(sure & (r[own][:, None] != r[None, :]))
         join(own[a], b)
+        if off is not None:
+            continue
         a, b = np.nonzero((s >= least - 1e-5) & ~sure)
         a = own[a]
         close = np.round(np.einsum("ij,ij->i", unit[a], unit[b]), 6) >= least
@@ -257,7 +321,7 @@ def cluster_members(vectors: DataFrame, spaces: DataFrame, least: float = 0.90,
     empty = spark.createDataFrame([], "vec_id bigint, typical_id bigint")
     if not sizes:
         return empty
-    cells = {s: max(1, math.ceil(min(n / cell_rows, 8 * math.sqrt(n)))) for s, n in sizes.items()}
+    cells = {s: max(1, math.ceil(min(n / cell_rows, CELLS * math.sqrt(n)))) for s, n in sizes.items()}
     shares = {s: min(1.0, SAMPLE_PER_CELL * max(8, cells[s]) / n) for s, n in sizes.items()}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,10 +331,13 @@ def cluster_members(vectors: DataFrame, spaces: DataFrame, least: float = 0.90,
     share = F.broadcast(spark.createDataFrame(list(shares.items()), "space string, share double"))
     drawn = single.join(share, "space").where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     sample = cut(drawn.mapInPandas(pack, "space string, vec_id bigint, raw binary"))
-    centers, held = move_centroids(sample, seed_centroids(sample, cells))
+    centers, _ = move_centroids(sample, seed_centroids(sample, cells))
     number = {s: n for n, s in enumerate(sorted(sizes))}
-    parts = {s: np.maximum(1, np.ceil(held[s] / shares[s] / block)).astype(int) for s in centers}
     core = math.cos(math.acos(least) / 2) + 1e-6
+    lots = {}
+    for s, n in spread_of(sample, centers, core).items():
+        lots[s] = np.ceil(n / shares[s] / block).astype(np.int64)
+        lots[s][:, 0] = np.where(n.sum(axis=1) / shares[s] > block, np.maximum(1, lots[s][:, 0]), 0)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -278,37 +345,28 @@ def cluster_members(vectors: DataFrame, spaces: DataFrame, least: float = 0.90,
                 if space not in centers:
                     continue
                 unit, ids = unit_rows(part["x"]), part["vec_id"].to_numpy()
-                raw = np.empty(len(ids), dtype=object)
-                raw[:] = [u.tobytes() for u in unit.astype(np.float16)]
-                c = unit.astype(np.float32) @ centers[space].T
-                n = min(SPILL, c.shape[1])
-                near = np.argpartition(-c, n - 1, axis=1)[:, :n] if n < c.shape[1] else np.tile(np.arange(n), (len(c), 1))
-                at, row = near.ravel(), np.repeat(np.arange(len(ids)), n)
+                raw, c = coded(unit), unit.astype(np.float32) @ centers[space].T
+                at, row = _cells(c)
                 strong = c[row, at] >= core
-                many = parts[space][at]
-                lot = (ids[row] * 2654435761 >> 7) % many
-                times = np.where(strong, 1, many)
-                again = np.repeat(np.arange(len(row)), times)
-                nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-                block_no = np.where(strong[again], lot[again], nth)
-                yield pd.DataFrame({"cell": (number[space] << 48) + (at[again].astype(np.int64) << 20) + block_no, "vec_id": ids[row[again]],
-                                    "raw": raw[row[again]], "strong": strong[again] & (many[again] > 1)})
+                weak_lots, strong_lots = lots[space][at].T
+                row, block_no, copy = _blocks(row, strong, weak_lots, strong_lots, ids[row] * 2654435761 >> 7)
+                yield pd.DataFrame({"cell": (number[space] << 32) + at[copy], "block": block_no, "vec_id": ids[row], "raw": raw[row],
+                                    "strong": strong[copy] & (weak_lots[copy] > 0)})
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("vec_id")
         ids, strong = rows["vec_id"].to_numpy(), rows["strong"].to_numpy()
-        unit = unit_rows(rows["raw"].map(lambda r: np.frombuffer(r, dtype=np.float16)))
-        root = linked_sets(unit, ids, least - HALF_ERROR, ~strong if strong.any() else None)
+        unit, off = decoded(rows["raw"])
+        root = linked_sets(unit, ids, least, ~strong if strong.any() else None, off=off)
         out = pd.DataFrame({"vec": ids, "root": root})
         if strong.any():  # all of the cell's strong rows are similar to each other: they meet in one name for the cell
-            name = -1 - (int(rows["cell"].iloc[0]) >> 20)
-            out = pd.concat([out, pd.DataFrame({"vec": ids[strong], "root": name})])
+            out = pd.concat([out, pd.DataFrame({"vec": ids[strong], "root": -1 - int(rows["cell"].iloc[0])})])
         counts = out["root"].map(out["root"].value_counts())
         return out[(counts > 1) | (out["root"] < 0)]
 
-    placed = spread(single).mapInPandas(place, "cell bigint, vec_id bigint, raw binary, strong boolean")
-    named = cut(placed.groupBy("cell").applyInPandas(link, "vec bigint, root bigint").groupBy("vec").agg(F.array_sort(F.collect_set("root")).alias("roots")))
-    ties = named.where(F.size("roots") > 1).select(F.col("roots")[0].alias("src"), F.explode(F.slice("roots", 2, 64)).alias("dst"))
+    placed = spread(single).mapInPandas(place, "cell bigint, block bigint, vec_id bigint, raw binary, strong boolean")
+    named = cut(placed.groupBy("cell", "block").applyInPandas(link, "vec bigint, root bigint").groupBy("vec").agg(F.array_sort(F.collect_set("root")).alias("roots")))
+    ties = named.where(F.size("roots") > 1).select(F.col("roots")[0].alias("src"), F.explode(F.expr("slice(roots, 2, size(roots) - 1)")).alias("dst"))
     joined = hook_and_shortcut(ties)
     labels = named.select("vec", F.col("roots")[0].alias("root")).join(joined.select(F.col("id").alias("root"), "group_id"), "root", "left")
     weights = spark.createDataFrame([(int(r), float(n)) for r, n in _class_sizes(sound, heavy)], "vec bigint, weight double")
