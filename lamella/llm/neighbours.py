@@ -132,7 +132,7 @@ def best_of_block(ids: np.ndarray, unit: np.ndarray, least: float, k: int) -> tu
         first = np.searchsorted(a, a)
         nth = np.arange(len(a)) - first
         last = sim[np.minimum(first + k - 1, len(a) - 1)] if len(a) else sim
-        keep = (nth < k) | ((sim >= last - NEAR) & (last < 1))
+        keep = (nth < k) | ((sim >= last - 2 * NEAR) & (last < 1))
         out.append((ids[a[keep]], ids[b[keep]], sim[keep]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -168,16 +168,17 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
 def reranked(found: DataFrame, sound: DataFrame, least: float, k: int) -> DataFrame:
     """(vec, other, sim) of the k best of each vector, sim rounded to six places.
 
-    A cosine that lies within NEAR of the threshold or of the next one in its list is made again from the vectors in double;
-    the vectors of those few are fetched by id. All others are right as they are.
+    Where the cosines of the k-th and the next candidate lie within NEAR, those about as similar are made again from the vectors
+    in double, as are cosines within NEAR of the threshold; the vectors of those few are fetched by id. So the k are the right
+    ones; the order among them is that of the packed vectors.
     """
-    w = Window.partitionBy("vec").orderBy(F.desc("sim"), "other")
-    one = found.where("vec <> other").groupBy("vec", "other").agg(F.max("sim").alias("sim"))
-    tied = lambda a, b: (a - b <= NEAR) & (a < 1)  # noqa: E731  (a not below b; null where there is none)
-    unsure = tied(F.lag("sim").over(w), F.col("sim")) | tied(F.col("sim"), F.lead("sim").over(w)) | (F.abs(F.col("sim") - least) <= NEAR)
-    last = F.min(F.when(F.col("rank") <= k, F.col("sim"))).over(Window.partitionBy("vec"))
-    held = one.withColumns({"rank": F.row_number().over(w), "unsure": F.coalesce(unsure, F.lit(False))}).withColumn("last", last)
-    held = cut(held.where((F.col("rank") <= k) | (F.col("sim") >= F.col("last") - NEAR)).select("vec", "other", "sim", "unsure"))
+    w, every = Window.partitionBy("vec").orderBy(F.desc("sim"), "other"), Window.partitionBy("vec")
+    one = found.where("vec <> other").repartition("vec").groupBy("vec", "other").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(w))
+    at = lambda n: F.max(F.when(F.col("rank") == n, F.col("sim"))).over(every)
+    tied = (F.col("last") - F.col("next") <= NEAR) & (F.col("last") < 1) & (F.abs(F.col("sim") - F.col("last")) <= 2 * NEAR)
+    unsure = F.coalesce(tied, F.lit(False)) | (F.abs(F.col("sim") - least) <= NEAR)
+    held = one.withColumns({"last": at(k), "next": at(k + 1)}).withColumn("unsure", unsure)
+    held = cut(held.where((F.col("rank") <= k) | F.col("unsure")).select("vec", "other", "sim", "unsure"))
     again = held.where("unsure")
     n = again.count()
     sure = held.where("NOT unsure").select("vec", "other", F.round("sim", 6).alias("sim"))
@@ -194,7 +195,7 @@ def reranked(found: DataFrame, sound: DataFrame, least: float, k: int) -> DataFr
         side = lambda c, x: rows.select(F.col("vec_id").alias(c), F.col("x").alias(x))
         exact = again.select("vec", "other").join(side("vec", "p"), "vec").join(side("other", "q"), "other")
         sure = sure.unionByName(exact.select("vec", "other", cosine("p", "q").alias("sim")))
-    return _best(sure.where(F.col("sim") >= least), k).drop("rank")
+    return sure.where(F.col("sim") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
 
 
 def nearest(vectors: DataFrame, spaces: DataFrame, k: int = 5, least: float = 0.85, leaf_rows: int = LEAF_ROWS, trees: int = TREES, visits: int | None = None) -> DataFrame:
@@ -228,7 +229,7 @@ def similar_pairs(vectors: DataFrame, spaces: DataFrame, k: int = 5, least: floa
 
 def same_crop_rate(vectors: DataFrame, spaces: DataFrame) -> DataFrame:
     """(space, n, n_same, rate): of the vectors with a most similar one of at least 0.85, how many have one of their own crop."""
-    first = nearest(vectors, spaces).where("rank = 1")
+    first = nearest(vectors, spaces, 1)
     crops = vectors.select("vec_id", "space", "crop").where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
     a, b = crops.withColumnsRenamed({"vec_id": "vec", "crop": "crop_a"}), crops.select(F.col("vec_id").alias("other"), F.col("crop").alias("crop_b"))
     same = (F.col("crop_a") == F.col("crop_b")).cast("bigint")
