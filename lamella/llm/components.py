@@ -3,7 +3,8 @@
 Both take an edge table (``src``, ``dst``; extra columns are ignored) and return ``(id, group_id)`` with one row for each id
 that stands in an edge to another id; ``group_id`` is the smallest id of its component. Null ends and loops link nothing,
 repeated edges count once, an empty table gives an empty result. State is kept in tables, so no component is ever gathered
-in one task; a vertex with very many neighbours is reduced by partial aggregation and, in joins, split by the adaptive skew join.
+in one task; a vertex with very many neighbours is reduced by partial aggregation, and in joins with its own minimum it is taken
+out of the shuffle (``spread_join``). The other joins read both sides from written tables, where the adaptive skew join applies.
 """
 
 from __future__ import annotations
@@ -16,6 +17,28 @@ from pyspark.sql import functions as F
 from lamella.session import cut
 
 
+#: A key with at least HOT_ROWS rows and this share of all rows is hot; so there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 100_000, 2000
+
+
+def hot_from(total: int | None) -> int:
+    """From how many rows on a key is hot, of so many rows in all."""
+    return max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int | None, top: int | None) -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row a key and ``n``, the key's rows (``total`` in all, ``top`` at most).
+
+    Rows of hot keys stay where they are and get their row of ``lookup`` by broadcast (at most HOT_KEYS rows); all others are
+    joined as usual. Without hot keys it is one join.
+    """
+    if (top or 0) < hot_from(total):
+        return rows.join(lookup.drop("n"), keys)
+    hot, rest = (lookup.where(c).drop("n") for c in (F.col("n") >= hot_from(total), F.col("n") < hot_from(total)))
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def _edges(edges: DataFrame) -> DataFrame:
     a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     return edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select(a, b).distinct()
@@ -24,8 +47,9 @@ def _edges(edges: DataFrame) -> DataFrame:
 def star(rows: DataFrame, key: str | list[str], member: str) -> DataFrame:
     """Edges that tie all members of a key to its smallest one: linear in the rows, where all pairs would be quadratic."""
     keys = [key] if isinstance(key, str) else key
-    hubs = rows.groupBy(*keys).agg(F.min(member).alias("dst"))
-    return rows.join(hubs, keys).select(F.col(member).alias("src"), "dst")
+    hubs = cut(rows.groupBy(*keys).agg(F.min(member).alias("dst"), F.count("*").alias("n")))
+    total, top = hubs.agg(F.sum("n"), F.max("n")).first()
+    return spread_join(rows, hubs, keys, total, top).select(F.col(member).alias("src"), "dst")
 
 
 def hook_and_shortcut(edges: DataFrame) -> DataFrame:
@@ -56,22 +80,29 @@ def hook_and_shortcut(edges: DataFrame) -> DataFrame:
 def hash_to_min(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Components by hash-to-min: each vertex sends its cluster to the cluster's smallest member and that member to all others.
 
-    A cluster is a set of rows (v, u), not an array, so the largest component needs no single large row.
-    Rounds go on until the rows no longer change, seen by their count and checksum.
+    A cluster is a set of rows (v, u), not an array, so the largest component needs no single large row. A component is
+    settled once each of its vertices holds the smallest one alone and the smallest one holds them all; it then leaves the
+    table, so later rounds move only what is still open. Rounds grow with the logarithm of the longest path; more than
+    ``max_rounds`` (paths of some 2^60 vertices) raise an error rather than give a wrong result.
     """
     e = _edges(edges)
     pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
     both = F.explode(F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b")))
-    clusters = cut(e.select(both.alias("e")).select("e.*").distinct())
-    mark = None
+    clusters, done = cut(e.select(both.alias("e")).select("e.*").distinct()), []
     for _ in range(max_rounds):
-        least = clusters.groupBy("v").agg(F.min("u").alias("m"))
-        sent = clusters.join(least, "v").select(F.explode(F.array(pair("m", "u"), pair("u", "m"))).alias("e")).select("e.*")
-        clusters = cut(sent.distinct())
-        now = clusters.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u"))).first()
-        if now == mark:
-            return clusters.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("group_id"))
-        mark = now
+        least = cut(clusters.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")))
+        alone, own = F.count_if((F.col("v") != F.col("m")) & (F.col("n") == 1)), F.max(F.when(F.col("v") == F.col("m"), F.col("n")))
+        state = least.groupBy("m").agg(F.count("*").alias("k"), F.sum("n").alias("rows"), F.max("n").alias("top"), F.coalesce(alone + 1 == own, F.lit(False)).alias("settled"))
+        state = cut(state)
+        open_, kept, vertices, most, rows, top = state.agg(F.count_if(~F.col("settled")), F.count_if("settled"), F.sum("k"), F.max("k"), F.sum("rows"), F.max("top")).first()
+        known = spread_join(least.withColumnRenamed("n", "size"), state.select("m", F.col("k").alias("n"), "settled"), ["m"], vertices, most)
+        if kept:
+            done.append(known.where("settled").select(F.col("v").alias("id"), F.col("m").alias("group_id")))
+        if not open_:
+            return union_all(*done) if done else known.select(F.col("v").alias("id"), F.col("m").alias("group_id"))
+        live = known.where("NOT settled").select("v", "m", F.col("size").alias("n"))
+        sent = spread_join(clusters, live, ["v"], rows, top)
+        clusters = cut(sent.select(F.explode(F.array(pair("m", "u"), pair("u", "m"))).alias("e")).select("e.*").distinct())
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
 
 
@@ -89,7 +120,8 @@ def _fill(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many groups of each size to take for a total as near to target as can be (the smaller total if two are as near).
 
     Subset sums as the bits of one integer; a size that occurs n times enters as 1, 2, 4 ... copies. ``first`` keeps for each
-    sum the item that reached it first, which is enough to walk back.
+    sum the item that reached it first (from 1 on), which is enough to walk back: two bytes a sum while there are under 65,535
+    items, so the driver needs about two bytes and a bit for each record of the target.
     """
     import numpy as np
 
@@ -98,7 +130,8 @@ def _fill(sizes: dict[int, int], target: int) -> dict[int, int]:
     top = target + max(min(sizes), min(target, max(sizes)))
     mask, bits = (1 << (top + 1)) - 1, 1
     items: list[tuple[int, int]] = []
-    first = np.full(top + 1, -1, dtype=np.int32)
+    first = np.zeros(top + 1, dtype=np.uint16 if sum(n.bit_length() for n in sizes.values()) < 65_535 else np.uint32)
+    block = 1 << 20  # bytes of the bitset that are looked at together
     for size in sorted(sizes, reverse=True):
         n, step = sizes[size], 1
         while n > 0 and size <= top:
@@ -108,15 +141,17 @@ def _fill(sizes: dict[int, int], target: int) -> dict[int, int]:
                 continue
             new = (bits << (size * take)) & mask & ~bits
             if new:
-                raw = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), dtype=np.uint8)
-                first[np.nonzero(np.unpackbits(raw, bitorder="little")[: top + 1])[0]] = len(items)
                 items.append((size, take))
+                raw = np.frombuffer(new.to_bytes(top // 8 + 1, "little"), dtype=np.uint8)
+                for i in range(0, len(raw), block):
+                    part = np.unpackbits(raw[i : i + block], bitorder="little")[: top + 1 - 8 * i]
+                    first[8 * i + np.nonzero(part)[0]] = len(items)
                 bits |= new
-    reached = np.concatenate([[0], np.nonzero(first >= 0)[0]])
+    reached = np.concatenate([[0], np.nonzero(first)[0]])
     total = int(reached[np.argmin(np.abs(reached - target))])
     chosen: dict[int, int] = {}
     while total:
-        size, take = items[first[total]]
+        size, take = items[int(first[total]) - 1]
         chosen[size] = chosen.get(size, 0) + take
         total -= size * take
     return chosen
@@ -125,7 +160,8 @@ def _fill(sizes: dict[int, int], target: int) -> dict[int, int]:
 def assign_splits(members: DataFrame, shares: tuple[float, float, float] = (0.70, 0.15, 0.15)) -> DataFrame:
     """(id, group_id) -> (id, group_id, split): no group is parted, and the totals come as near the shares as sizes allow.
 
-    Only the multiplicities of the sizes come to the driver: n records have fewer than sqrt(2 n) + 1 different sizes. Test is
+    Only the multiplicities of the sizes come to the driver: n records have fewer than sqrt(2 n) + 1 different sizes; choosing
+    among them takes about two bytes for each record of the smaller shares (``_fill``). Test is
     filled first, then val from what remains; train gets the rest, so a group too large for either share is train.
     Among groups of one size, the ranks by hash decide. An empty table gives an empty result.
     """
