@@ -1,8 +1,9 @@
 """Problem 7: documents that hold passages of held-out items, found by winnowed fingerprints and extended to exact spans.
 
 A document gives away an item if it holds ``span`` following words of it, or the whole item if that is shorter. Items of at
-least ``span`` words are fingerprinted for runs of ``span`` words, shorter ones for runs of the shortest item's length, so a
-shared run always leaves a common fingerprint. Null, empty and blank texts hold nothing; items without words match nothing;
+least ``span`` words are fingerprinted for runs of ``span`` words, items of SHORT words to under ``span`` for runs of SHORT
+words, and still shorter ones as they are, each length for itself; so a shared run always leaves a common fingerprint, and a
+short item does not make those of the others coarser. Null, empty and blank texts hold nothing; items without words match nothing;
 a repeated item row counts once; extra columns are ignored.
 """
 
@@ -24,9 +25,17 @@ SPAN = 12
 ITEM_WORDS = 2_000_000
 
 
+SHORT = 6
+
+
+def run_of(words: int, span: int) -> int:
+    """The run for which an item of so many words is fingerprinted."""
+    return span if words >= span else SHORT if words >= SHORT else words
+
+
 def _shape(run: int) -> tuple[int, int]:
-    """k of the k-grams and the window for shared runs of ``run`` words."""
-    k = max(1, (run + 1) // 2)
+    """k of the k-grams and the window for shared runs of ``run`` words; runs under SHORT words are kept whole."""
+    k = run if run < SHORT else (run + 1) // 2
     return k, run - k + 1
 
 
@@ -49,8 +58,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], span: int = SPAN):
         hashed = WordHash()
         self.items = [(i, h) for i, h in ((i, hashed(words(t))) for i, t in rows) if len(h)]
-        short = [len(h) for _, h in self.items if len(h) < span]
-        self.runs = sorted({span for _, h in self.items if len(h) >= span} | ({min(short)} if short else set()))
+        self.runs = sorted({run_of(len(h), span) for _, h in self.items})
         self.need = [min(span, len(h)) for _, h in self.items]
         self.at: dict[int, dict[int, list[tuple[int, int]]]] = {}
         self.sorted: dict[int, np.ndarray] = {}
@@ -58,7 +66,7 @@ class Items:
             k, window = _shape(run)
             found = defaultdict(list)
             for n, (_, h) in enumerate(self.items):
-                if (len(h) >= span) == (run == span):
+                if run_of(len(h), span) == run:
                     g = gram_hashes(h, k)
                     for p in winnow(g, window):
                         found[int(g[p])].append((n, int(p)))
@@ -110,7 +118,7 @@ def _fingerprints(rows: DataFrame, key: str, runs: list[int], span: int, by_leng
             for i, t in zip(b[key], b["text"]):
                 h = hashed(words(t))
                 for run in runs:
-                    if by_length and (len(h) >= span) != (run == span) or len(h) < run:
+                    if len(h) < run or by_length and run_of(len(h), span) != run:
                         continue
                     k, window = _shape(run)
                     g = gram_hashes(h, k)
@@ -153,12 +161,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, span: int = SPAN, item_
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([len(words(t)) for t in texts], dtype="int32")
 
-    sized = items.select(count("text").alias("n")).where("n > 0")
-    short, some, total = sized.agg(F.min(F.when(F.col("n") < span, F.col("n"))), F.max(F.when(F.col("n") >= span, 1)), F.sum("n")).first()
-    if (total or 0) <= item_words:
+    n = F.col("n")
+    run = F.when(n >= span, span).when(n >= SHORT, SHORT).otherwise(n).alias("run")
+    by_run = items.select(count("text").alias("n")).where("n > 0").groupBy(run).agg(F.sum("n").alias("words")).collect()  # one row a run
+    if sum(r["words"] for r in by_run) <= item_words:
         held = Items([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()], span)
         return _scan(documents, held)
-    return _joined(documents, items, sorted({r for r in (short, span if some else None) if r}), span)
+    return _joined(documents, items, sorted(r["run"] for r in by_run), span)
 
 
 def leaks_by_suite(documents: DataFrame, items: DataFrame) -> DataFrame:

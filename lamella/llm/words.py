@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 
 _BLOCK = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|section|article)\b[^<>]*>", re.I)
-_INLINE = re.compile(r"</?[A-Za-z][^<>]{0,300}>|<!--.*?-->", re.S)
+_INLINE = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 #: UTF-8 read as Windows-1252: a lead character and its continuation characters.
 _CONT = "\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 _TWICE = re.compile(f"[Â-ß][{_CONT}]|[à-ï][{_CONT}]{{2}}|[ð-ô][{_CONT}]{{3}}")
