@@ -41,6 +41,18 @@ def test_components(spark, find, case):
     assert {r["id"]: r["group_id"] for r in find(df).collect()} == brute(edges)
 
 
+@pytest.mark.parametrize("find", [c.hook_and_shortcut, c.hash_to_min])
+@pytest.mark.parametrize("case", ["star", "random"])
+def test_components_with_hot_vertices(spark, find, case, monkeypatch):
+    """Vertices of three rows and more count as hot, so that both ways of the joins are taken."""
+    monkeypatch.setattr(c, "HOT_ROWS", 3)
+    edges = CASES[case]
+    rows = spark.createDataFrame([(b, a) for a, b in edges], "member string, k string")
+    assert {r["id"]: r["group_id"] for r in find(spark.createDataFrame(edges, "src string, dst string")).collect()} == brute(edges)
+    least = {k: min(b for a, b in edges if a == k) for k, _ in edges}
+    assert {(r["src"], r["dst"]) for r in c.star(rows, "k", "member").collect()} == {(b, least[a]) for a, b in edges}
+
+
 def test_splits_keep_groups_and_shares(spark):
     sizes = [40, 17, 9, 9, 5, 3, 3, 3, 2, 2] + [1] * 30
     rows = [(f"r{g}_{i}", f"g{g:02d}") for g, n in enumerate(sizes) for i in range(n)]

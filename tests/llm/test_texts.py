@@ -63,10 +63,18 @@ def test_leaks_by_both_ways(spark, bound):
     assert leak.leaked_items(docs.limit(0), items, item_words=bound).count() == 0
 
 
+def test_both_ways_agree_on_the_tables(spark):
+    from tests.conftest import SMALL
+
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "eval_items"))
+    one, two = ({tuple(r) for r in leak.leaked_items(docs, items, item_words=n).collect()} for n in (10**7, 0))
+    assert one == two and one
+
+
 def test_leaks_match_brute_force():
     r = random.Random(2)
     vocab = [f"w{i}" for i in range(12)]
-    texts = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(3, 40)))) for i in range(40)]
+    texts = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(1, 40)))) for i in range(60)]
     docs = [" ".join(r.choice(vocab) for _ in range(300)) + " " + r.choice(texts)[1] for _ in range(30)]
     held = leak.Items(texts)
     from lamella.llm.words import WordHash
@@ -78,6 +86,7 @@ def test_leaks_match_brute_force():
 
 
 def test_words():
+    assert words(f"one <span title='{'x ' * 400}'>two</span> three") == ["one", "two", "three"]
     assert words("PrÃ¼fbogen Pr&uuml;fbogen Prüfbogen prüf-\r\nbogen oﬀen") == ["prüfbogen"] * 4 + ["offen"]
     assert words(None) == [] and words(" ") == []
 
