@@ -45,6 +45,11 @@ def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlaps_by_source(table(spark, d, "strip_map"), table(spark, d, "design"))
 
 
+def p5_same_records(spark: SparkSession, d: str) -> DataFrame:
+    strips, design = table(spark, d, "strip_map"), table(spark, d, "design")
+    return overlap.same_profiles(strips, design)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.corpus_ids(table(spark, d, "documents"))
 
@@ -69,4 +74,4 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact_personal(table(spark, d, "documents"), table(spark, d, "given_names"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p4_found, p4_sizes, p5_found, p5_by_source, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite, p8_found, p8_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_same_crop, p2_found, p2_splits, p3_found, p4_found, p4_sizes, p5_found, p5_by_source, p5_same_records, p6_ids, p6_tokens_by_source, p7_found, p7_by_suite, p8_found, p8_redacted)}

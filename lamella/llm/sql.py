@@ -93,6 +93,15 @@ size AS (SELECT label, count(*) AS n FROM stat GROUP BY label)
 SELECT a AS vec_id, first_value(a) OVER (PARTITION BY s.label ORDER BY mean DESC, a) AS typical_id
 FROM stat s JOIN size z ON s.label = z.label AND s.n = z.n WHERE z.n >= 3""",
     "p5_found": _P5 + "SELECT site_a, site_b FROM pairs",
+    "p5_same_records": _P5 + """, texts AS (
+  SELECT DISTINCT site, replace(array_to_string(profile, ' '), '-', '') AS t FROM strip_map
+  WHERE profile IS NOT NULL AND len(profile) = 64 AND list_count(profile) = 64 AND list_min(profile) < list_max(profile)
+), recs AS (
+  SELECT DISTINCT t, s.site, s.split, coalesce(try_cast(nullif(regexp_extract(lower(groups), 'img[^0-9a-z]*([0-9]{1,18})', 1), '') AS BIGINT), -1) AS source
+  FROM texts JOIN splits s ON s.site = texts.site JOIN (SELECT crop, groups, trim(regexp_replace(lower(split), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS k FROM design) d ON d.crop = s.site
+   AND s.split = CASE WHEN k IN ('train', 'training') THEN 'train' WHEN k IN ('val', 'validation', 'valid', 'dev') THEN 'val' WHEN k IN ('test', 'testing', 'held out', 'heldout', 'holdout') THEN 'test' END
+)
+SELECT split, source, count(DISTINCT site) AS n FROM recs WHERE split IN ('val', 'test') AND t IN (SELECT t FROM recs WHERE split = 'train') GROUP BY split, source""",
     "p5_by_source": _P5 + """, imgs AS (
   SELECT DISTINCT d.crop, s.split, coalesce(try_cast(nullif(regexp_extract(lower(groups), 'img[^0-9a-z]*([0-9]{1,18})', 1), '') AS BIGINT), -1) AS image
   FROM design d JOIN splits s ON s.site = d.crop WHERE s.split IN ('val', 'test')
