@@ -113,3 +113,23 @@ def test_overlaps(spark):
 def test_same_records(spark):
     rows = spark.createDataFrame([(1, "train", "Hello,  World!", "s"), (2, "test", "hello world", "t"), (3, "val", "other", "t"), (4, "test", "...", "t"), (5, "train", "...", "s"), (6, "dev", None, "t")], "id int, split string, text string, source string")
     assert [tuple(r) for r in overlap.same_records(rows, "id", "split", "text", "source").collect()] == [("test", "t", 1)]
+
+
+def test_pairs_at_the_least_correlation_share_a_hash():
+    """Planes and tables as for 500, a hundred thousand and ten million training profiles."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (500, 100_000, 10_000_000):
+        bits = overlap.bits_for(n)
+        tables = overlap.tables_for(bits, 0.95)
+        a, o = r.standard_normal((2, 600, 64))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        o -= (o * a).sum(axis=1, keepdims=True) * a
+        b = 0.95 * a + np.sqrt(1 - 0.95**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+        planes = r.standard_normal((64, tables * bits))
+        p, q = (x.reshape(600, tables, bits) for x in (a @ planes, b @ planes))
+        turned = (p > 0) != (q > 0)
+        rank = np.argsort(np.argsort(np.abs(q), axis=2), axis=2)
+        met = ((turned.sum(axis=2) == 0) | (turned.sum(axis=2) == 1) & (turned & (rank < overlap.FLIPS)).any(axis=2)).any(axis=1)
+        assert met.mean() >= 0.99
