@@ -57,6 +57,20 @@ class Boosted:
         return 1 / (1 + np.exp(-score))
 
 
+def isotonic(p: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calibration on held-out rows: scores and the rising share of positives at them (pool adjacent violators, with one
+    positive and one negative added to each pool), for np.interp."""
+    order = np.argsort(p, kind="stable")
+    pools: list[list[float]] = []  # hits, rows, sum of scores
+    for score, hit in zip(p[order].tolist(), y[order].tolist()):
+        pools.append([hit, 1.0, score])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    share = np.maximum.accumulate([(h + 1) / (n + 2) for h, n, _ in pools]) if pools else np.array([0.0, 1.0])
+    return (np.array([s / n for _, n, s in pools]) if pools else np.array([0.0, 1.0])), share
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The threshold of the highest F1 on held-out rows: the middle of the widest gap of scores that reaches it."""
     best, at = -1.0, 0.5

@@ -1,8 +1,9 @@
 """Problem 8: personal information inside free text, found by generous generators and picked by boosted trees.
 
 Generators of high recall propose overlapping spans of five kinds; each span gets features of its form and its surroundings;
-one model a kind, fitted on composed examples (see ``pii_examples``; their number is bounded by EXAMPLES), scores them; spans
-above the kind's threshold, chosen on held-out examples, are kept, the better one where two overlap. Whole texts are scanned;
+one model a kind, fitted on composed examples (see ``pii_examples``; their number is bounded by EXAMPLES), scores them; scores
+are calibrated on held-out examples, spans above the kind's threshold of the highest F1 there are kept, the better one where two
+overlap. Costly patterns are tried only round cheap signs of a place (an at sign, five digits, a comma before a capital). Whole texts are scanned;
 null, empty and blank texts hold nothing; positions count Unicode characters; a place is reported once.
 """
 
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .boost import Boosted, best_threshold
+from .boost import Boosted, best_threshold, isotonic
 from .plans import spread
 
 KINDS = ("email", "address", "id_number", "phone", "name")
@@ -55,32 +56,44 @@ _ID = re.compile(rf"(?<![\w./+\-@])(?:[A-Z]{{1,3}}[ -]?)?\d[\dA-Z]{{0,13}}(?:[ \
 _CITY = f"(?:{_CAP}|{_CAPS})(?:[ -](?:{_CAP}|{_CAPS})){{0,2}}"
 _TAIL = rf"(?:,?\s{{1,3}}(?:(?:[A-Z]{{1,3}}-)?\d{{4,5}}\s{_CITY}|{_CITY},?\s(?:\d{{5}}|[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s\d[A-Z]{{2}})))"
 _UNIT = rf"(?:,\s?(?i:flat|suite|apt\.?|unit|room|floor|étage|piso|wohnung|bât\.?|\d{{1,2}}º)\s?[\w.]{{0,5}}(?:\s[A-Z]\b)?)"
-_STREET = re.compile("|".join((
-    rf"(?<![\w.,-])\d{{1,5}}[a-zA-Z]?\s(?:{_CAP}\s|{_CAPS}\s){{1,3}}(?i:ave(?:nue)?|street|st|road|rd|lane|ln|close|drive|dr|court|ct|way|square|sq|terrace|place|pl|crescent|blvd|boulevard|mews|hill|row|park|walk|gardens)\b\.?{_UNIT}?{_TAIL}?",
+_STREETS = tuple(re.compile(p) for p in (
+    rf"\d(?<![\w.,-]\d)\d{{0,4}}[a-zA-Z]?\s(?:{_CAP}\s|{_CAPS}\s){{1,3}}(?i:ave(?:nue)?|street|st|road|rd|lane|ln|close|drive|dr|court|ct|way|square|sq|terrace|place|pl|crescent|blvd|boulevard|mews|hill|row|park|walk|gardens)\b\.?{_UNIT}?{_TAIL}?",
     rf"(?<![\w-])(?i:p\.?\s?o\.?\s?box|postfach|boîte postale|b\.?p\.?|bp|apartado(?: de correos)?|apdo\.?|casilla)\s\d{{1,3}}(?:\s?\d{{1,3}}){{0,3}}{_TAIL}?",
-    rf"(?<![\w.-])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s(?i:rue|avenue|av\.|chemin|allée|allee|boulevard|bd|place|impasse|quai|route|cours|passage|square|sentier)\s(?:d[eu]s?\s(?:la\s)?|de\sl['’]|d['’]|l['’])?{_CITY}{_TAIL}?",
+    rf"\d(?<![\w.-]\d)\d{{0,3}}(?:\s?(?:bis|ter|quater))?,?\s(?i:rue|avenue|av\.|chemin|allée|allee|boulevard|bd|place|impasse|quai|route|cours|passage|square|sentier)\s(?:d[eu]s?\s(?:la\s)?|de\sl['’]|d['’]|l['’])?{_CITY}{_TAIL}?",
     rf"(?<![\w-])(?i:calle|c/|avda\.?|avenida|plaza|pza\.?|paseo|camino|ronda|travesía|carretera|ctra\.?)\s(?:de(?:l|\sla|\slos|\slas)?\s)?{_CITY},?\s(?:n\.?º?\s?)?(?:\d{{1,4}}|s/n){_UNIT}?(?:,\s\d{{1,2}}\.?[ºª]?\s?[A-Z]?\b(?!\d))?{_TAIL}?",
-    rf"(?<![\w-])(?:{_CAP}(?i:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee|berg|hof|markt)|(?:Am|An der|Im|Zum|Zur|Auf der)\s{_CAP})\s\d{{1,4}}\s?[a-z]?\b{_TAIL}?",
-)))
+    rf"[{_U}](?<![\w-].)[{_M}]?[{_L}]+(?:-[{_U}][{_M}]?[{_L}]+)*(?i:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|pfad|chaussee|berg|hof|markt)\s\d{{1,4}}\s?[a-z]?\b{_TAIL}?",
+    rf"[AIZ](?<![\w-].)(?:(?<=A)m|(?<=A)n der|(?<=I)m|(?<=Z)um|(?<=Z)ur|(?<=A)uf der)\s{_CAP}\s\d{{1,4}}\s?[a-z]?\b{_TAIL}?",
+))
+#: Words without one of which the second and the fourth form have no place.
+_STREET_GATES = {1: ("box", "postfach", "postale", "bp", "b.p", "bp.", "apartado", "apdo", "casilla"), 3: ("calle", "c/", "avda", "avenida", "plaza", "pza", "paseo", "camino", "ronda", "travesía", "carretera", "ctra")}
+#: Cheap signs of a place, round which the costly patterns are tried.
+_AT_SIGN = re.compile(rf"@|[(\[{{<]\s?(?:at|AT|a)\s?[)\]}}>]|{_WORD_AT}{_LABEL}(?:{_BRACKET_DOT}|{_WORD_DOT})")
+_NUMBER = re.compile(r"\d[\dA-Z ()/.\-   ]{4,}")
+_COMMA_INITIAL, _COMMA_NAME = re.compile(rf",{_SP}[{_U}][{_M}]?\."), re.compile(rf",{_SP}[{_U}]")
 _NAME_FORMS = tuple(re.compile(p) for p in (
     rf"{_START}{_INIT}{{1,3}}{_SP}?{_PART_ANY}{{0,2}}{_FAM}{_END}",
     rf"{_START}(?=({_PART_ANY}{{0,2}}{_FAM},{_SP}{_INIT}{{1,3}}))",
     rf"{_START}(?=((?:{_CAP}|{_CAPS}){_SP}(?:{_INIT}{_SP}?){{0,2}}(?:(?:{_CAP}|{_CAPS}){_SP})?{_PART_ANY}{{0,2}}{_FAM}))",
     rf"{_START}(?=({_PART_ANY}{{0,2}}{_FAM},{_SP}(?:{_CAP}|{_CAPS})(?:{_SP}{_INIT}){{0,2}}))",
 ))
-_LOW_WORD = re.compile(f"{_START}[{_L}]{{3,}}")
+_LOW_WORD = re.compile(f"[{_U}{_L}]{{2,}}")
+_WHOLE = re.compile(f"{_START}[{_L}]{{3,}}")
 _LOW_REST = re.compile(rf"{_SP}(?:(?:{_INIT}|[{_L}]\.){_SP}?){{0,2}}(?:{_PART}){{0,2}}{_LOW}")
 _LOW_BEFORE = re.compile(rf"(?<![\w{_M}@.+/-])((?:{_PART}){{0,2}}{_LOW}),{_SP}$")
 _LOW_LABELLED = re.compile(rf":{_SP}{{1,2}}(?:[A-Z][a-zª]{{0,4}}\.?ª?{_SP})?({_LOW}{_SP}(?:(?:{_INIT}|[{_L}]\.){_SP}?){{0,2}}(?:{_PART}){{0,2}}{_LOW}|{_LOW},{_SP}{_LOW})(?={_SP}?[(<,:])")
 
-_LOW_CUED = re.compile(rf"\b(?i:note by|booked by|notiz von|note de|nota de|thank|remercions|danken|agradecemos a|y a|volvieron a|returned to|renvoyés à|zurück an|go to|shift was|bediener war|visitor|reviewer \d \(|rückfragen an|signed,){_SP}?(?:(?:Dr|Prof|Pr|Ms|Mr|Mrs|Mme|Mlle|Frau|Herr|Sra?|Dra|D)\.?ª?{_SP})?({_LOW}{_SP}(?:(?:{_INIT}|[{_L}]\.){_SP}?){{0,2}}(?:{_PART}){{0,2}}{_LOW}|{_LOW},{_SP}{_LOW})(?=,{_SP}(?:\+?[(\d]|PO|[A-Z]|passport)|{_SP}?[(<:]|{_SP}(?:and|und|et|y|last|for|pour|für|los|les)\b)")
+#: Words after which a person may be named in lower case: roles, and verbs and prepositions of authorship, in four languages.
+_LOW_CUES = frozenset("""author contact operator technician visitor guest applicant referee reviewer supervisor clerk engineer sender owner editor member employee by ask see dear thank thanks signed attn cc
+auteur opérateur technicien visiteur invité candidat rapporteur responsable ingénieur expéditeur par voir chère cher merci remercions autor kontakt bediener techniker besucher gast bewerber gutachter leiter ansprechpartner
+absender mitglied von frag siehe liebe lieber danken dank contacto operador técnico visitante invitado candidato revisor ingeniero remitente por véase estimada estimado hola gracias agradecemos firmado gezeichnet signé""".split())
+_LOW_CUED = re.compile(rf"(?:{_SP}\d{{1,3}})?{_SP}?[:,]?{_SP}?\(?(?:an{_SP}|à{_SP}|a{_SP}|to{_SP})?(?:(?:Dr|Prof|Pr|Ms|Mr|Mrs|Mme|Mlle|Frau|Herr|Sra?|Dra|D)\.?ª?{_SP})?(?<![{_L}])({_LOW}{_SP}(?:(?:{_INIT}|[{_L}]\.){_SP}?){{0,2}}(?:{_PART}){{0,2}}{_LOW}|{_LOW},{_SP}{_LOW})(?={_SP}?[(<:,;)]|\.?\s*$|\.?\n|{_SP}(?:and|und|et|y)\b)")
 
 _CUES = {k: re.compile(v, re.I) for k, v in {
-    "phone": r"\b(t[eé]l(?:[eé](?:phone|fono|fon))?|phone|call|mobile|fax|ring|ruf|anruf\w*|appel\w*|llam\w*|fon|handy|portable|m[oó]vil)\b",
-    "id": r"\b(badge|staff|passport|payroll|passeport|matricule|personal-?nr|ausweis\w*|reisepass\w*|credencial|empleado|n[oó]mina|pasaporte|employee|mitarbeiter\w*|lohn\w*|personnel|paie|lohnabrechnung|dni|nif|n[oº°]\.? de s[eé]cu\w*|insurance|identity|carte d.identit[eé]|lohnkonto)",
-    "number": r"\b(order|catalogue|issn|isbn|grant|checksum|commande|bestell\w*|katalog|pedido|cat[aá]logo|doi|stage|lane|spur\w*|counts?|z[aä]hlung|compt\w*|piste|carril|recuento|scan|lot|los|lote|build|shelf|thresholds?|seuils?|umbrales|schwellen|stelle|spot|file|fold|sample|version|subvention|f[oö]rder\w*|beca|arxiv|pp?\.|s\.)",
-    "address": r"(address|adresse|anschrift|domicilio|direcci[oó]n|ship\b.*to|returned to|renvoy[eé]s|zur[uü]ck an|volvieron|lives? at|visit|envoyer|enviar|wohnhaft)",
-    "name": r"\b(by|from|author|auteur|autor|contact\w*|operator|op[eé]rateur|operador|bediener|visitor|visiteur|besucher|visitante|reviewer|gutachter|rapporteur|revisor|thank|thanks|remercions|danken|agradecemos|signed|note|note de|nota de|notiz von|go(?:es)? to|ask|see|voir|ansprechpartner\w*|r[uü]ckfragen an|sobre|was|war|dear|hi|hello|cher|ch[eè]re|liebe\w*|hola|estimad\w+|regards|gr[uü][sß]+e|returned to|zur[uü]ck an|renvoy[eé]s à|volvieron a|booked|turno|correspondant|de contacto|unterzeichnet|sign[eé]|firmado|von|an|à|a)\W{0,4}$",
+    "phone": r"\b(t[eé]l(?:[eé](?:phone|fono|fon))?|phone|call|mobile|fax|ring|reach|ruf|anruf\w*|appel\w*|joindre|llam\w*|fon|handy|portable|m[oó]vil|erreichbar)\b",
+    "id": r"\b(badge|staff|pass(?:port|nummer)?\b|payroll|passeport|matric\w+|personal-?(?:nr|nummer|ausweis)|ausweis\w*|reisepass\w*|credencial|empleado|n[oó]mina|pasaporte|employ\w+|mitarbeiter\w*|lohn\w*|personnel|paie|dni|nif|n[oº°]\.? de s[eé]cu\w*|insurance|versicherung\w*|identi\w+|id\b)",
+    "number": r"\b(order|invoice|catalogue|issn|isbn|grant|checksum|commande|facture|bestell\w*|rechnung|katalog|pedido|factura|cat[aá]logo|doi|stage|platine|stufe|etapa|lane|counts?|z[aä]hlung|compt\w*|recuento|scan|lot|los|lote|batch|build|shelf|thresholds?|seuils?|umbral\w*|schwellen?|page|file|fichier|datei|archivo|fold|sample|versi[oó]n|s[eé]rie|serial|ticket|room|subvention|f[oö]rder\w*|beca|arxiv|pp?\.|s\.)",
+    "address": r"(address|adresse|anschrift|domicil\w+|direcci[oó]n|liv(?:es?|ing) (?:at|in)|habite|vive en|visit|deliver|ship|send|mail|post|liefer\w*|livrer|envo\w+|enviar|entregar|wohn\w+|\bto|\ban|\bà|\ba)\b",
+    "name": r"\b(by|from|author|auteur|autor|conta[ck]t\w*|operator|op[eé]rateur|operador|bediener|techni\w+|t[eé]cnico|visit\w+|besucher|guest|invit\w+|gast|applicant|candidat\w*|bewerber|referee|reviewer|gutachter|rapporteur|revisor|supervisor|responsable|leiter|sender|remitente|absender|owner|editor|member|membre|mitglied|miembro|thank|thanks|merci|remercions|dank\w*|gracias|agradecemos|signed|sign[eé]|firmado|gezeichnet|note|nota|notiz|vermerk|memo|remark|ask|see|voir|siehe|v[eé]ase|frag\w*|ansprechpartner\w*|sobre|was|war|dear|hi|hello|cher|ch[eè]re|liebe\w*|hola|estimad\w+|regards|wishes|sincerely|cordialement|saludos|atentamente|gr[uü][sß]+e?|correspondant|attn|cc|to|for|für|pour|para|par|por|von|an|à|a|de)\W{0,4}$",
 }.items()}
 _TITLE = re.compile(r"\b(dr|prof|pr|mr|mrs|ms|mme|mlle|frau|herr|herrn|sr|sra|dra|d\.ª|don|doña|ing|dipl)\.?\s{0,2}$", re.I)
 _ORG = re.compile(r"^[’'-]?\s?-?(?:instruments?|threshold|index|schwelle|indice|índice|gmbh|ltd|inc|corp|group|test|method|methode|model|law|filter|stage|works|labs?|laborator\w+|institute?|university|co\b|ag\b|s\.?a\.?\b|systems?|optics|detector|equation|number|criterion|kriterium|gleichung|verfahren|modell|probe|kurve|werke|geräte)", re.I)
@@ -109,41 +122,62 @@ class Span:
 def candidates(text: str, given: frozenset[str]) -> list[Span]:
     """Overlapping spans of all kinds, with as few misses as can be; for each kind the earliest longest span of a form."""
     out: list[Span] = []
-    for m in _EMAIL.finditer(text):
-        out.append(Span("email", m.start(), m.end(), 0 if "@" in m[0] else 1))
-    for m in _STREET.finditer(text):
-        out.append(Span("address", m.start(), m.end(), 0))
-    for m in _PHONE.finditer(text):
-        n = sum(c.isdigit() for c in m[0])
-        if 7 <= n <= 18:
-            out.append(Span("phone", m.start(), m.end(), 0))
-    for m in _ID.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 5:
-            label = re.match(r"(?:ID|NO|NR|REF)[ -]", m[0])
-            out.append(Span("id_number", m.start() + (label.end() if label else 0), m.end(), 0))
+    for a, b in _around(_AT_SIGN.finditer(text), 80, 600):
+        for m in _EMAIL.finditer(text, a, b):
+            out.append(Span("email", m.start(), m.end(), 0 if "@" in m[0] else 1))
+    low = text.lower()
+    for form, rx in enumerate(_STREETS):
+        if form not in _STREET_GATES or any(g in low for g in _STREET_GATES[form]):
+            out += [Span("address", m.start(), m.end(), 0) for m in rx.finditer(text)]
+    for a, b in _around((m for m in _NUMBER.finditer(text) if sum(map(str.isdigit, m[0])) >= 5), 8, 24):
+        for m in _PHONE.finditer(text, a, b):
+            if 7 <= sum(map(str.isdigit, m[0])) <= 18:
+                out.append(Span("phone", m.start(), m.end(), 0))
+        for m in _ID.finditer(text, a, b):
+            if sum(map(str.isdigit, m[0])) >= 5:
+                label = _ID_LABEL.match(m[0])
+                out.append(Span("id_number", m.start() + (label.end() if label else 0), m.end(), 0))
     for form, rx in enumerate(_NAME_FORMS):
-        for m in rx.finditer(text):
+        places = [(0, len(text))] if form in (0, 2) else _around((_COMMA_INITIAL if form == 1 else _COMMA_NAME).finditer(text), 120, 90)
+        for m in (m for x, y in places for m in rx.finditer(text, x, y)):
             a, b = m.span(1) if rx.groups else m.span()
             while b > a and text[b - 1] in " \u00a0\u2009\u202f\t-":
                 b -= 1
-            first = re.match(r"[^\s,.]+", text[a:b])
+            first = _FIRST.match(text, a, b)
             if first and (len(first[0]) == 1 or first[0].casefold() not in _COMMON) and not (text[a].islower() and _NOTE.search(text[max(0, a - 12) : a])):
                 out.append(Span("name", a, b, form))
-                if form == 2 and (cut := re.match(rf"(?:{_FAM}){_SP}(?:{_FAM})(?={_SP}{_FAM}$)", text[a:b])):
+                if form == 2 and (cut := _FIRST_TWO.match(text[a:b])):
                     out.append(Span("name", a, a + cut.end(), form))
     for m in _LOW_WORD.finditer(text):
-        if m[0] in given:
+        word = m[0]
+        if word in given and len(word) > 2 and _WHOLE.match(text, m.start()):
             a, b = m.span()
             if rest := _LOW_REST.match(text, b):
                 out.append(Span("name", a, rest.end(), 4))
             if before := _LOW_BEFORE.search(text, max(0, a - 40), a):
                 out.append(Span("name", before.start(1), b, 4))
-    for m in (*_LOW_LABELLED.finditer(text), *_LOW_CUED.finditer(text)):
+        if word.lower() in _LOW_CUES and (c := _LOW_CUED.match(text, m.end())) and not _LOW_STOP & set(re.split(r"[\s,.]+", c[1])):
+            out.append(Span("name", *c.span(1), 4))
+    for m in _LOW_LABELLED.finditer(text):
         if not _LOW_STOP & set(re.split(r"[\s,.]+", m[1])):
             out.append(Span("name", *m.span(1), 4))
     return out
 
 
+def _around(signs: Iterable[re.Match], before: int, after: int) -> list[tuple[int, int]]:
+    """Stretches of text round the signs, those that touch put together."""
+    out: list[tuple[int, int]] = []
+    for m in signs:
+        a, b = max(0, m.start() - before), m.end() + after
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+_ID_LABEL, _FIRST = re.compile(r"(?:ID|NO|NR|REF)[ -]"), re.compile(r"[^\s,.]+")
+_FIRST_TWO = re.compile(rf"(?:{_FAM}){_SP}(?:{_FAM})(?={_SP}{_FAM}$)")
 _NOTE = re.compile(r"\b(?:note|nota|notiz|seuil|indice|umbral|índice)\s$", re.I)
 _LETTERS = re.compile(r"[^\W\d_]")
 
@@ -186,6 +220,7 @@ class Finder:
 
     models: dict[str, Boosted]
     thresholds: dict[str, float]
+    calibration: dict[str, tuple[np.ndarray, np.ndarray]]
     given: frozenset[str]
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
@@ -210,8 +245,10 @@ class Finder:
             for kind in KINDS:
                 at = [j for j, s in enumerate(spans) if s.kind == kind]
                 if at:
-                    for q, j in zip(self.models[kind].predict(matrix[at]).tolist(), at):
-                        if q >= self.thresholds[kind]:
+                    score = self.models[kind].predict(matrix[at])
+                    likely = np.interp(score, *self.calibration[kind]) >= self.thresholds[kind]
+                    for q, ok, j in zip(score.tolist(), likely.tolist(), at):
+                        if ok:
                             kept[owner[j]].append((q, spans[j]))
             out += [_apart(k) for k in kept]
         return out
@@ -234,7 +271,7 @@ def _apart(kept: list[tuple[float, Span]]) -> list[tuple[str, int, int]]:
 
 
 def fit_finder(given: Iterable[str], examples: int = EXAMPLES, seed: int = 1) -> Finder:
-    """Fit one model a kind on composed examples; every fourth is held out for the kind's threshold."""
+    """Fit one model a kind on composed examples; every fourth is held out for the kind's calibration and threshold."""
     from .pii_examples import compose
 
     names = frozenset(g.casefold() for g in given if g)
@@ -246,12 +283,14 @@ def fit_finder(given: Iterable[str], examples: int = EXAMPLES, seed: int = 1) ->
             x.append(features(text, s, names, lows))
             y.append(float((s.kind, s.start, s.end) in truth or s.kind != "name" and (s.kind, s.start) in starts))
             held.append(n % 4 == 3)
-    models, thresholds = {}, {}
+    models, thresholds, calibration = {}, {}, {}
     for kind, (x, y, held) in rows.items():
         x, y, held = np.array(x), np.array(y), np.array(held)
         models[kind] = Boosted().fit(x[~held], y[~held])
-        thresholds[kind] = best_threshold(models[kind].predict(x[held]), y[held])
-    return Finder(models, thresholds, names)
+        score = models[kind].predict(x[held])
+        calibration[kind] = isotonic(score, y[held])
+        thresholds[kind] = best_threshold(np.interp(score, *calibration[kind]), y[held])
+    return Finder(models, thresholds, calibration, names)
 
 
 @lru_cache(maxsize=2)
