@@ -93,7 +93,7 @@ _CUES = {k: re.compile(v, re.I) for k, v in {
     "id": r"\b(badge|staff|pass(?:port|nummer)?\b|payroll|passeport|matric\w+|personal-?(?:nr|nummer|ausweis)|ausweis\w*|reisepass\w*|credencial|empleado|n[oó]mina|pasaporte|employ\w+|mitarbeiter\w*|lohn\w*|personnel|paie|dni|nif|n[oº°]\.? de s[eé]cu\w*|insurance|versicherung\w*|identi\w+|id\b)",
     "number": r"\b(order|invoice|catalogue|issn|isbn|grant|checksum|commande|facture|bestell\w*|rechnung|katalog|pedido|factura|cat[aá]logo|doi|stage|platine|stufe|etapa|lane|counts?|z[aä]hlung|compt\w*|recuento|scan|lot|los|lote|batch|build|shelf|thresholds?|seuils?|umbral\w*|schwellen?|page|file|fichier|datei|archivo|fold|sample|versi[oó]n|s[eé]rie|serial|ticket|room|subvention|f[oö]rder\w*|beca|arxiv|pp?\.|s\.)",
     "address": r"(address|adresse|anschrift|domicil\w+|direcci[oó]n|liv(?:es?|ing) (?:at|in)|habite|vive en|visit|deliver|ship|send|mail|post|liefer\w*|livrer|envo\w+|enviar|entregar|wohn\w+|\bto|\ban|\bà|\ba)\b",
-    "name": r"\b(by|from|author|auteur|autor|conta[ck]t\w*|operator|op[eé]rateur|operador|bediener|techni\w+|t[eé]cnico|visit\w+|besucher|guest|invit\w+|gast|applicant|candidat\w*|bewerber|referee|reviewer|gutachter|rapporteur|revisor|supervisor|responsable|leiter|sender|remitente|absender|owner|editor|member|membre|mitglied|miembro|thank|thanks|merci|remercions|dank\w*|gracias|agradecemos|signed|sign[eé]|firmado|gezeichnet|note|nota|notiz|vermerk|memo|remark|ask|see|voir|siehe|v[eé]ase|frag\w*|ansprechpartner\w*|sobre|was|war|dear|hi|hello|cher|ch[eè]re|liebe\w*|hola|estimad\w+|regards|wishes|sincerely|cordialement|saludos|atentamente|gr[uü][sß]+e?|correspondant|attn|cc|to|for|für|pour|para|par|por|von|an|à|a|de)\W{0,4}$",
+    "name": r"\b(by|from|author|auteur|autor|conta[ck]t\w*|operator|op[eé]rateur|operador|bediener|techni\w+|t[eé]cnico|visit\w+|besucher|guest|invit\w+|gast|applicant|candidat\w*|bewerber|referee|reviewer|gutachter|rapporteur|revisor|supervisor|responsable|leiter|sender|remitente|absender|owner|editor|member|membre|mitglied|miembro|thank|thanks|merci|remercions|dank\w*|gracias|agradecemos|signed|sign[eé]|firmado|gezeichnet|note|nota|notiz|vermerk|memo|remark|ask|see|voir|siehe|v[eé]ase|frag\w*|ansprechpartner\w*|sobre|was|war|dear|hi|hello|cher|ch[eè]re|liebe\w*|hola|estimad\w+|regards|wishes|sincerely|cordialement|saludos|atentamente|gr[uü][sß]+e?|correspondant|attn|cc|to|for|für|pour|para|par|por|von|an|à|a|de|of|with|saw|con|bei|mit|avec|chez)\W{0,4}$",
 }.items()}
 _TITLE = re.compile(r"\b(dr|prof|pr|mr|mrs|ms|mme|mlle|frau|herr|herrn|sr|sra|dra|d\.ª|don|doña|ing|dipl)\.?\s{0,2}$", re.I)
 _ORG = re.compile(r"^[’'-]?\s?-?(?:instruments?|threshold|index|schwelle|indice|índice|gmbh|ltd|inc|corp|group|test|method|methode|model|law|filter|stage|works|labs?|laborator\w+|institute?|university|co\b|ag\b|s\.?a\.?\b|systems?|optics|detector|equation|number|criterion|kriterium|gleichung|verfahren|modell|probe|kurve|werke|geräte)", re.I)

@@ -20,23 +20,23 @@ _TITLES = {"en": ["Dr. ", "Prof. ", "Ms ", "Mr ", "Mrs "], "fr": ["Dr ", "Mme ",
 #: Words of the grammar by language: what a person is called, what comes before a name, before numbers and addresses, and after.
 _WORDS = {
     "en": {
-        "role": "author|contact|operator|technician|visitor|guest|applicant|referee|reviewer|supervisor|clerk|engineer|sender|owner|editor|member", "before": "thanks to|signed off by|written by|ordered by|call by|met with|ask|see|dear|for|from|by|to|cc|attn|we saw|on behalf of|talk to|led by|was|thank|and",
+        "role": "author|contact|operator|technician|visitor|guest|applicant|referee|reviewer|supervisor|clerk|engineer|sender|owner|editor|member", "before": "thanks to|signed off by|written by|ordered by|call by|met with|ask|see|dear|for|from|by|to|cc|attn|we saw|on behalf of|talk to|led by|was|thank",
         "idlabel": "badge|staff no.|passport|passport number|employee number|personnel no.|pass no.|payroll number|identity card|insurance no.|ID card|ID", "tel": "phone|tel.|telephone|mobile|call|ring|fax|reach me on",
         "adr": "address|lives at|home address is|visit us at|deliver to|mail to|send it to|to", "mail": "e-mail|mail to|reply to|write to|copies to|contact|via|at", "after": "today|for the day|as agreed|before lunch|this week|if it rains|when you can|again|and left|in good time|has gone|is new|about the key|with regards",
         "close": "Regards|Yours sincerely|Best wishes|Cheers|Signed", "and": "and", "note": "Remark|Memo|Comment|Note", "by": "by|from", "subject": "From", "number": "order|invoice|catalogue no.|ISBN|grant|page|file|batch|version|ticket|room|serial no.|DOI|counts|stage|shelf",
         "method": "method|test|threshold|index|equation|model|filter|group|stage|law|institute|Ltd", "of": "the method of|the law of|the threshold of"},
     "fr": {
-        "role": "auteur|contact|opérateur|technicien|visiteur|invité|candidat|rapporteur|responsable|ingénieur|expéditeur|membre", "before": "merci à|rédigé par|signé par|commandé par|demander à|voir|chère|cher|pour|par|de|à|avec|remercions|et à|chez",
+        "role": "auteur|contact|opérateur|technicien|visiteur|invité|candidat|rapporteur|responsable|ingénieur|expéditeur|membre", "before": "merci à|rédigé par|signé par|commandé par|demander à|voir|chère|cher|pour|par|de|à|avec|remercions|chez",
         "idlabel": "badge|matricule|passeport|numéro de passeport|carte d'identité|n° de sécurité sociale|numéro d'employé|fiche de paie", "tel": "tél.|téléphone|appeler le|portable|fax|joindre au", "adr": "adresse|domicilié au|habite|livrer au|envoyer à|à",
         "mail": "courriel|répondre à|écrire à|mail|contact|via", "after": "aujourd'hui|cette semaine|avant midi|comme prévu|si besoin|encore une fois|est parti|pour la clé", "close": "Cordialement|Bien à vous|Salutations", "and": "et", "note": "Remarque|Mémo|Note", "by": "de|par", "subject": "De",
         "number": "commande|facture|catalogue|subvention|page|fichier|lot|version|série|comptage|platine", "method": "seuil|indice|test|modèle", "of": "le seuil de|la méthode de|l'indice de|la loi de"},
     "de": {
-        "role": "Autor|Kontakt|Bediener|Techniker|Besucher|Gast|Bewerber|Gutachter|Leiter|Ansprechpartner|Absender|Mitglied", "before": "dank an|verfasst von|bestellt von|gezeichnet|frag|siehe|liebe|lieber|für|von|an|bei|mit|danken|fragen an|war|und",
+        "role": "Autor|Kontakt|Bediener|Techniker|Besucher|Gast|Bewerber|Gutachter|Leiter|Ansprechpartner|Absender|Mitglied", "before": "dank an|verfasst von|bestellt von|gezeichnet|frag|siehe|liebe|lieber|für|von|an|bei|mit|danken|fragen an|war",
         "idlabel": "Ausweis|Personalnr.|Reisepass|Passnummer|Mitarbeiternummer|Lohnkonto|Versicherungsnr.|Personalausweis", "tel": "Tel.|Telefon|Anruf unter|mobil|Fax|erreichbar unter", "adr": "Anschrift|Adresse|wohnhaft|liefern an|Post an|an",
         "mail": "E-Mail|Antwort an|schreiben an|Mail|Kontakt|per", "after": "heute|diese Woche|vor Mittag|wie vereinbart|bei Bedarf|noch einmal|ist fort|wegen des Schlüssels", "close": "Viele Grüße|Freundliche Grüße|Gruß", "and": "und", "note": "Bemerkung|Vermerk|Notiz", "by": "von", "subject": "Von",
         "number": "Bestellung|Rechnung|Katalog|Förderung|Seite|Datei|Los|Version|Serie|Zählung|Stufe", "method": "Schwelle|Index|Verfahren|Modell|GmbH", "of": "das Verfahren von|die Schwelle von|das Gesetz von"},
     "es": {
-        "role": "autor|contacto|operador|técnico|visitante|invitado|candidato|revisor|responsable|ingeniero|remitente|miembro", "before": "gracias a|escrito por|firmado por|pedido por|preguntar a|véase|estimada|hola|para|por|de|a|con|agradecemos a|y a|sobre",
+        "role": "autor|contacto|operador|técnico|visitante|invitado|candidato|revisor|responsable|ingeniero|remitente|miembro", "before": "gracias a|escrito por|firmado por|pedido por|preguntar a|véase|estimada|hola|para|por|de|a|con|agradecemos a|sobre",
         "idlabel": "credencial|pasaporte|número de pasaporte|DNI|número de empleado|nómina|tarjeta de identidad|matrícula de personal", "tel": "tel.|teléfono|llamar al|móvil|fax|llame al", "adr": "dirección|domicilio|vive en|entregar en|enviar a|a",
         "mail": "correo|responder a|escribir a|contacto|mediante", "after": "hoy|esta semana|antes de comer|según lo acordado|si hace falta|otra vez|se ha ido|por la llave", "close": "Saludos|Atentamente|Un abrazo", "and": "y", "note": "Aviso|Recado|Nota", "by": "de|por", "subject": "De",
         "number": "pedido|factura|catálogo|beca|página|archivo|lote|versión|serie|recuento|etapa", "method": "umbral|índice|modelo", "of": "el umbral de|el método de|la ley de"},
@@ -44,7 +44,7 @@ _WORDS = {
 #: Sentences of the grammar; a slot in capitals begins with a capital.
 _FOUND = """{ROLE}: {title}{name} ({email}), {tel} {phone}.|{ROLE} {title}{name} ({idlabel} {id}) {after}.|{ROLE} {before} {title}{name} ({idlabel} {id}).|{IDLABEL} {id} {after}.|{IDLABEL}: {id}|{IDLABEL} {id}; {adr} {address}.|{ROLE} {title}{name}, {idlabel} {id}, {after}.
 {BEFORE} {title}{name} {after}.|{role} {before} {title}{name} {after}.|{BEFORE} {title}{name} {and} {title}{name} {after}.|{BEFORE} {title}{name} {and} {title}{name} {before} {low} {low}.|{low} {before} {title}{name}, {title}{name} {and} {title}{name} {after}.|{CLOSE}, {name} {and} {name}|{BEFORE} {title}{name}, {address}.|{BEFORE} {name}, {phone}.|{ADR}: {address}|{ADR} {address}.|{SUBJECT}: {name} <{email}>\n|{SUBJECT}: {name}\n|{MAIL} {email} {after}.
-{TEL} {phone} {after}.|{TEL}: {phone}|{role} {d1} ({title}{name}) {after}; {mail} {email}.|{CLOSE}, {name}\n{address}\n{phone}|{CLOSE},\n{name}|{NOTE} {by} {title}{name}: {after}.|{before} {name} ({email})|{title}{name} {after}.|{name}; {name}; {name} ({year})|{NAME_} {before} {d2}: {title}{name}, {phone}.""".replace("\n", "|").replace("\\n", "\n")
+{TEL} {phone} {after}.|{TEL}: {phone}|{role} {d1} ({title}{name}) {after}; {mail} {email}.|{CLOSE}, {name}\n{address}\n{phone}|{CLOSE},\n{name}|{NOTE} {by} {title}{name}: {after}.|{before} {name} ({email})|{ROLE}: {name}; {name}; {name}\\n|{role} {title}{name} {after}.|{NAME_} {before} {d2}: {title}{name}, {phone}.""".replace("\n", "|").replace("\\n", "\n")
 _OTHER = """{NUMBER} {d4}-{d3}-{U}, {number} {d3}-{d4}, {number} {d2}.|{NUMBER} {d4}-{d3}X; {number} {U}{U}-{d4}/{d2}.|{NUMBER} {d1}.{d2}.{d1}, {d12}, @{low}.|{d1} kV @ {d2}.{d2} mm, {d3} {low}.|{NUMBER}: {d3} {d3} {d4}, {d2} {d3} {d4}.|{NUMBER} {low} {low}: {d3} {d3} {d4}.|{NUMBER} {d2}.{d4}, {d2}.{d4}; {date}.
 {number} {d2}.{d4}/{low}.{d4}.{d3}, {d3}-{d3}.|[{date}] {low} {d1} {low}, {low} 0.{d3}, {low} 0.{d3}|{NUMBER} {d3}, {d3} {and} {d2} {after}.|{fam} {method} {low} {d2} {after}.|{OF} {fam} {and} {of} {fam} {after}.|{fam}-{method}; {of} {fam}.|{fam} {number} {d2} {after}.|{fam} et al. ({year}) {after}.|{BEFORE} Dr. {fam} {after}.
 {Fam} {and} {Fam} {low} {d2}.{d2}, {d3}?|{BEFORE} {Fam} {low} {d3} {low} {and} {Fam} {low} {low} {d2}.{d2}.|{Fam} {Fam} {Fam} {d3} {Fam}|{FAM} {FAM} {d2}, {FAM}|## {Fam} {Fam}|### {Fam} {low} ({year})|{NUMBER} {d3} {low} {low} {d2}.{d2}, {d2}.{d2}.|{Fam}: {low} {d2},{d2}, {low} {d2},{d2}.
