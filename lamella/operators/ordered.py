@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.session import cut
+
 
 def weighted_quantile(df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float, form: str = "right") -> DataFrame:
     """Quantile of weighted values by linear interpolation of the cumulative share (``right``: cum/W, ``mid``: (cum - w/2)/W)
@@ -83,15 +85,25 @@ def md5_uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / float(16**12)
 
 
+def global_rank(df: DataFrame, order: Sequence[str], alias: str = "rank") -> DataFrame:
+    """Position (from 1) of each row in the order of columns that have no ties, without bringing all rows into one task: rows
+    are range-partitioned and written, counted by part, and ranked within their part from the part's offset."""
+    d = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = d.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return d.withColumn("_r", within).join(F.broadcast(offsets), "_p").withColumn(alias, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
+
+
 def deal(df: DataFrame, key: str, klass: str, folds: int, seed: str) -> DataFrame:
     """Keys dealt round robin into folds, class by class, in hash order."""
-    w = Window.orderBy(klass, F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return df.select(key, klass).distinct().withColumn("fold", (F.row_number().over(w) - 1) % folds)
+    d = df.select(key, klass).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    return global_rank(d, [klass, "_h", key], "_g").select(key, klass, ((F.col("_g") - 1) % folds).alias("fold"))
 
 
 def shuffle_split(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """train or test by hash order of the keys, an exact share of them."""
-    w = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    n = df.select(key).distinct()
-    total = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return n.select(key, F.when(F.row_number().over(w) <= F.floor(total * share), "train").otherwise("test").alias("role"))
+    n = df.select(key).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    r = global_rank(n, ["_h", key], "_g")
+    total = r.agg(F.floor(F.count("*") * share).alias("_t"))
+    return r.join(F.broadcast(total)).select(key, F.when(F.col("_g") <= F.col("_t"), "train").otherwise("test").alias("role"))

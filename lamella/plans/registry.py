@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable:
 def _load() -> dict[str, Query]:
     from importlib import import_module
 
-    for name in ("table_queries", "raster_queries", "learning_queries", "text_queries", "more_queries"):
+    for name in ("table_queries", "raster_queries", "learning_queries", "text_queries", "more_queries", "record_queries", "cohort_queries"):
         import_module(f"lamella.plans.{name}")
     return _ALL
 
