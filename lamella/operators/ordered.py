@@ -95,6 +95,14 @@ def global_rank(df: DataFrame, order: Sequence[str], alias: str = "rank") -> Dat
     return d.withColumn("_r", within).join(F.broadcast(offsets), "_p").withColumn(alias, F.col("_r") + F.col("_o")).drop("_p", "_r", "_o")
 
 
+def successive(df: DataFrame, order: str, value: str) -> DataFrame:
+    """(order, step): the difference of each value from the one before it; ranges of rows at a time, their last values handed on."""
+    d = cut(df.select(order, value).repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    last = d.groupBy("_p").agg(F.max_by(value, order).alias("_v")).select("_p", F.lag("_v").over(Window.orderBy("_p")).alias("_last"))  # one row a partition
+    before = F.coalesce(F.lag(value).over(Window.partitionBy("_p").orderBy(order)), F.col("_last"))
+    return d.join(F.broadcast(last), "_p").select(order, (F.col(value) - before).alias("step"))
+
+
 def deal(df: DataFrame, key: str, klass: str, folds: int, seed: str) -> DataFrame:
     """Keys dealt round robin into folds, class by class, in hash order."""
     d = df.select(key, klass).distinct().withColumn("_h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))

@@ -23,16 +23,45 @@ def variance_components(rows: DataFrame, keys: Sequence[str], group: str, value:
     return t.select(*keys, "k", "n", "mean", "msb", "msw", "n0", F.sqrt("vb").alias("sd_between"), F.sqrt("msw").alias("sd_within"), (F.col("vb") / (F.col("vb") + F.col("msw"))).alias("icc"), w.alias("weight"), df.alias("df"))
 
 
-def compare(components: DataFrame, lot: str, baseline: str, t_value: float = 1.959963984540054, margin_sd: float = 1.5) -> DataFrame:
-    """Each lot against the baseline lot: difference, its error, interval, margin and zone."""
-    base = components.where(F.col(lot) == baseline).select(F.col("mean").alias("m0"), "sd_between", "sd_within", F.col("weight").alias("w0"), F.col("n").alias("n0_"))
-    other = components.where(F.col(lot) != baseline).select(lot, "mean", F.col("weight").alias("w1"), "n")
-    c = other.join(F.broadcast(base))
-    var = F.pow("sd_between", 2) * (F.col("w0") + F.col("w1")) + F.pow("sd_within", 2) * (1 / F.col("n0_") + 1 / F.col("n"))
-    c = c.withColumns({"delta": F.col("mean") - F.col("m0"), "se": F.sqrt(var), "margin": margin_sd * F.sqrt(F.pow("sd_between", 2) + F.pow("sd_within", 2))})
-    c = c.withColumns({"low": F.col("delta") - t_value * F.col("se"), "high": F.col("delta") + t_value * F.col("se")})
+def compare(rows: DataFrame, lot: str, baseline: str, session: str, value: str, alpha: float = 0.05, margin_sd: float = 1.5) -> DataFrame:
+    """Each lot against the baseline lot, one row a lot: difference, error, degrees of freedom, interval, margin, zone and the
+    p value against a difference as large as the margin.
+
+    The variance of the difference comes from the baseline's components by session (a lot whose own variance of the mean is larger
+    keeps its own), its degrees of freedom by Satterthwaite; where every baseline row has a session of its own it is Welch's form
+    with the baseline's SD. The interval is one of level 1 - 2 alpha. Only sums by lot and session are made; the t quantiles are
+    taken on one row a lot.
+    """
+    from lamella.functions.distributions import t_quantile, t_survival
+
+    r = rows.where(F.col(value).isNotNull())
+    g = r.groupBy(F.col(lot).alias("lot"), F.col(session).alias("s")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    t = g.groupBy("lot").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("ssw"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
+    t = t.withColumns({"ssb": F.col("q") - F.col("n") * F.col("mean") * F.col("mean"), "w": F.col("n2") / (F.col("n") * F.col("n"))}).withColumn("var", (F.col("ssw") + F.col("ssb")) / (F.col("n") - 1))
+    b = t.where(F.col("lot") == baseline).select(*[F.col(c).alias(f"b_{c}") for c in ("k", "n", "n2", "mean", "ssw", "ssb", "w", "var")])
+    x = t.where(F.col("lot") != baseline).select("lot", "n", "mean", "w", "var").join(F.broadcast(b))
+    c = {c: F.col(c) for c in ("n", "w", "var", "b_k", "b_n", "b_w", "b_var")}
+    aware = (c["b_n"] > c["b_k"]) & (c["b_k"] > 1)
+    dfw, dfb = c["b_n"] - c["b_k"], c["b_k"] - 1
+    x = x.withColumns({"msw": F.when(aware, F.col("b_ssw") / dfw), "msb": F.when(aware, F.col("b_ssb") / dfb), "n0": F.when(aware, (c["b_n"] - F.col("b_n2") / c["b_n"]) / dfb)})
+    x = x.withColumn("vs", F.greatest((F.col("msb") - F.col("msw")) / F.col("n0"), F.lit(0.0)))
+    v_lot, own = F.col("msw") / c["n"] + F.col("vs") * c["w"], F.when(c["n"] > 1, c["var"] / c["n"])
+    x = x.withColumn("own", F.coalesce(own > v_lot, F.lit(False)))
+    some = F.col("vs") > 0
+    part = lambda weight: F.when(some, weight / F.col("n0")).otherwise(0.0)
+    cw = 1 / c["b_n"] - part(c["b_w"]) + F.when(F.col("own"), 0.0).otherwise(1 / c["n"] - part(c["w"]))
+    cb = part(c["b_w"]) + F.when(F.col("own"), 0.0).otherwise(part(c["w"]))
+    tw, tb, to = cw * F.col("msw"), cb * F.col("msb"), F.when(F.col("own"), own).otherwise(0.0)
+    df = F.pow(tw + tb + to, 2) / (tw * tw / dfw + tb * tb / dfb + F.when(F.col("own"), to * to / (c["n"] - 1)).otherwise(0.0))
+    var = F.col("msw") / c["b_n"] + F.col("vs") * c["b_w"] + F.when(F.col("own"), own).otherwise(v_lot)
+    x = x.withColumns({
+        "delta": F.col("mean") - F.col("b_mean"), "margin": margin_sd * F.sqrt(c["b_var"]), "mode": F.when(aware, "session-aware").otherwise("welch"),
+        "se": F.when(aware, F.sqrt(var)).otherwise(F.sqrt(c["b_var"] * (1 / c["n"] + 1 / c["b_n"]))), "df": F.when(aware, df).otherwise(c["b_n"] - 1.0)})
+    x = x.withColumn("t", t_quantile(F.lit(1 - alpha), F.col("df")))
+    x = x.withColumns({"low": F.col("delta") - F.col("t") * F.col("se"), "high": F.col("delta") + F.col("t") * F.col("se"), "over": (F.abs("delta") - F.col("margin")) / F.col("se")})
+    two = t_survival(F.col("over"), F.col("df"))
     zone = F.when((F.col("low") > -F.col("margin")) & (F.col("high") < F.col("margin")), "EQUIV").when((F.col("low") > F.col("margin")) | (F.col("high") < -F.col("margin")), "BEYOND").otherwise("INCONCL")
-    return c.select(lot, "delta", "se", "low", "high", "margin", zone.alias("zone"))
+    return x.select(F.col("lot").alias(lot), "mode", "delta", "se", "df", "low", "high", "margin", F.when(F.col("over") > 0, two / 2).otherwise(1 - two / 2).alias("p_margin"), zone.alias("zone"))
 
 
 def matched_contrasts(rows: DataFrame, lot: str, baseline: str, session: str, value: str) -> DataFrame:

@@ -339,3 +339,65 @@ def imp_estimates(spark, d):
     """IMP-4: a capacity by mixture and a resistance by a power law, per batch; the constants are given ones."""
     t = tiles(spark, d).groupBy("batch").agg(F.avg("porosity_frac").alias("p"), F.avg("si_solid_frac").alias("s"))
     return t.select("batch", F.round(372 * (1 - F.col("s")) + 3579 * F.col("s"), 5).alias("capacity"), F.round((1 - F.col("p")) * F.pow("p", F.lit(-1.5)), 6).alias("resistance"))
+
+
+@query("WITH c AS (SELECT DISTINCT event_type AS class FROM events), r AS (SELECT class, event_type = class AS pos, value * CASE WHEN event_type = class THEN 1.1 ELSE 1 END AS s FROM events, c), q AS (SELECT class, pos, rank() OVER (PARTITION BY class ORDER BY s) + (count(*) OVER (PARTITION BY class, s) - 1) / 2 AS r FROM r), a AS (SELECT class, (sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos)) AS auc FROM q GROUP BY class) SELECT round(avg(auc), 9) AS macro_auc FROM a")
+def met_macro_auc(spark, d):
+    """MET-3: one class against the rest, ties half, averaged over the classes."""
+    ev = table(spark, d, "events")
+    x = ev.join(F.broadcast(ev.select(F.col("event_type").alias("class")).distinct())).withColumn("pos", F.col("event_type") == F.col("class"))
+    x = o.average_rank(x.select("class", "pos", (F.col("value") * F.when(F.col("pos"), 1.1).otherwise(1)).alias("s")), ["class"], "s", "r")
+    p = F.count_if("pos")
+    a = x.groupBy("class").agg(((F.sum(F.when(F.col("pos"), F.col("r"))) - p * (p + 1) / 2) / (p * (F.count("*") - p))).alias("auc"))
+    return a.agg(F.round(F.avg("auc"), 9).alias("macro_auc"))
+
+
+_CROSS = "(VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) o(dy, dx)"
+
+
+@query(f"WITH {PX}, m AS (SELECT img, y, x FROM px WHERE v > 0.0), e AS (SELECT img, y + dy AS y, x + dx AS x FROM m, {_CROSS} GROUP BY 1, 2, 3 HAVING count(*) = 5) SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM e, {_CROSS}")
+def mor_opening(spark, d):
+    """MOR-1: erosion, then dilation."""
+    return r.dilate(r.erode(image(spark, d).where("v > 0.0").select("img", "y", "x")))
+
+
+@query(f"WITH {PX}, m AS (SELECT img, y, x FROM px WHERE v > 0.0), e AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM m, {_CROSS}) SELECT img, y + dy AS y, x + dx AS x FROM e, {_CROSS} GROUP BY 1, 2, 3 HAVING count(*) = 5")
+def mor_closing(spark, d):
+    """MOR-1: dilation, then erosion."""
+    return r.erode(r.dilate(image(spark, d).where("v > 0.0").select("img", "y", "x")))
+
+
+@query(f"WITH {PX}, m AS (SELECT img, y, x, (v > 0.1)::INT AS m FROM px), c AS (SELECT img, abs(m - lag(m) OVER (PARTITION BY img, y ORDER BY x)) AS dx, abs(m - lag(m) OVER (PARTITION BY img, x ORDER BY y)) AS dy FROM m) SELECT img, round(pi() / 4 * (sum(dx) + sum(dy)) / count(*) / 0.2, 8) AS density FROM c GROUP BY img")
+def spa_interface_density(spark, d):
+    """SPA-3, SPA-4: interface length per area from line crossings times pi / 4, at 0.2 um a pixel."""
+    c = r.crossings(image(spark, d), F.col("v") > 0.1)
+    return c.select("img", F.round(F.pi() / 4 * (F.col("nx") + F.col("ny")) / F.col("n") / 0.2, 8).alias("density"))
+
+
+@query(f"WITH {PX}, s AS (SELECT img, v * lead(v, 1) OVER w AS p1, v * lead(v, 3) OVER w AS p3, v FROM (SELECT img, y, x, v - avg(v) OVER (PARTITION BY img) AS v FROM px) WINDOW w AS (PARTITION BY img, y ORDER BY x)) SELECT img, round(avg(p1) / avg(v * v), 9) AS r1, round(avg(p3) / avg(v * v), 9) AS r3 FROM s GROUP BY img")
+def tex_residual_correlation(spark, d):
+    """TEX-15, SPA-9: autocorrelation of what is left of the image mean at two lags."""
+    w, line = Window.partitionBy("img"), Window.partitionBy("img", "y").orderBy("x")
+    x = image(spark, d).withColumn("d", F.col("v") - F.avg("v").over(w))
+    x = x.withColumns({"p1": F.col("d") * F.lead("d", 1).over(line), "p3": F.col("d") * F.lead("d", 3).over(line)})
+    q = F.avg(F.col("d") * F.col("d"))
+    return x.groupBy("img").agg(F.round(F.avg("p1") / q, 9).alias("r1"), F.round(F.avg("p3") / q, 9).alias("r3"))
+
+
+@query(f"WITH {PX}, s AS (SELECT a.img, g AS lag, avg(a.v * b.v) AS p FROM px a, range(-3, 4) l(g) JOIN px b ON b.img = a.img + 1 AND b.y = a.y AND b.x = a.x + g GROUP BY 1, 2) SELECT img, arg_max(lag, (round(p, 12), -lag)) AS shift, round(max(p), 9) AS peak FROM s GROUP BY img")
+def xch_displacement(spark, d):
+    """XCH-6: the shift of one image against the next at the peak of their products."""
+    px = image(spark, d)
+    a = px.select("img", "y", "x", F.col("v").alias("a")).withColumn("lag", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("xb", F.col("x") + F.col("lag"))
+    b = px.select((F.col("img") - 1).alias("img"), "y", F.col("x").alias("xb"), F.col("v").alias("b"))
+    s = a.join(b, ["img", "y", "xb"]).groupBy("img", "lag").agg(F.avg(F.col("a") * F.col("b")).alias("p"))
+    return s.groupBy("img").agg(F.max_by("lag", F.struct(F.round("p", 12), -F.col("lag"))).alias("shift"), F.round(F.max("p"), 9).alias("peak"))
+
+
+@query("WITH a AS (SELECT user_id, event_id, value, event_type, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT CASE WHEN b IS NULL THEN 'first' WHEN abs(value - b) < 50 THEN 'touching' WHEN sign(value - 100) = sign(b - 100) THEN 'same' ELSE 'other' END AS kind, count(*) AS n FROM a GROUP BY 1")
+def joi_pair_kinds(spark, d):
+    """JOI-8: neighbouring pairs by kind."""
+    b = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    x = table(spark, d, "events").withColumn("b", b)
+    kind = F.when(F.col("b").isNull(), "first").when(F.abs(F.col("value") - F.col("b")) < 50, "touching").when(F.signum(F.col("value") - 100) == F.signum(F.col("b") - 100), "same").otherwise("other")
+    return x.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

@@ -110,11 +110,12 @@ def met_balanced_accuracy(spark, d):
     return l.balanced_accuracy(c, "y", "call").withColumn("balanced_accuracy", F.round("balanced_accuracy", 9))
 
 
-@query(_CENT + ", r AS (SELECT y, count(*) AS n, count(*) FILTER (y = call) AS hits FROM calls GROUP BY y) SELECT y, n, hits, round((hits / n + 3.8414588206941236 / (2 * n) - 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 3.8414588206941236 / (4 * n * n))) / (1 + 3.8414588206941236 / n), 8) AS low FROM r")
+@query(_CENT + ", r AS (SELECT y, count(*) AS n, count(*) FILTER (y = call) AS hits FROM calls GROUP BY y) SELECT y, n, hits, round((hits / n + 3.8414588206941236 / (2 * n) - 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 3.8414588206941236 / (4 * n * n))) / (1 + 3.8414588206941236 / n), 8) AS low, round((hits / n + 3.8414588206941236 / (2 * n) + 1.959963984540054 * sqrt(hits / n * (1 - hits / n) / n + 3.8414588206941236 / (4 * n * n))) / (1 + 3.8414588206941236 / n), 8) AS high FROM r")
 def met_recall_wilson(spark, d):
     """MET-4, AGG-20 in part."""
     c = l.held_out_centroids(vectors(spark, d), "vec_id", "s", "y", "x").groupBy("y").agg(F.count("*").alias("n"), F.count_if(F.col("y") == F.col("call")).alias("hits"))
-    return c.select("y", "n", "hits", F.round(l.wilson(F.col("hits"), F.col("n"))[0], 8).alias("low"))
+    low, high = l.wilson(F.col("hits"), F.col("n"))
+    return c.select("y", "n", "hits", F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
 
 
 @query(_CENT + " SELECT y, call, count(*) AS n FROM calls GROUP BY 1, 2")
@@ -186,12 +187,49 @@ def ver_components(spark, d):
     return c.select("lot", "k", "n", F.round("mean", 6).alias("mean"), *[F.round(x, 5).alias(x) for x in ("msb", "msw", "n0", "sd_between", "sd_within")], F.round("icc", 6).alias("icc"), F.round("weight", 8).alias("weight"), F.round("df", 4).alias("df"))
 
 
-@query(_VC + """, z AS (SELECT * FROM c WHERE lot = 'N'), d AS (SELECT c.lot, c.mean - z.mean AS delta, sqrt(z.vb * (z.weight + c.weight) + z.msw * (1 / z.n + 1 / c.n)) AS se, 1.5 * sqrt(z.vb + z.msw) AS margin FROM c, z WHERE c.lot <> 'N')
-SELECT lot, round(delta, 6) AS delta, round(se, 6) AS se, round(margin, 6) AS margin, CASE WHEN delta - 1.959963984540054 * se > -margin AND delta + 1.959963984540054 * se < margin THEN 'EQUIV' WHEN delta - 1.959963984540054 * se > margin OR delta + 1.959963984540054 * se < -margin THEN 'BEYOND' ELSE 'INCONCL' END AS zone FROM d""")
+_LOT_SUMS = """, g AS (SELECT lot, session, count(*) AS n, avg(q) AS m, var_pop(q) AS v FROM t GROUP BY 1, 2),
+a AS (SELECT lot, count(*) AS k, sum(n) AS n, sum(n * n) AS n2, sum(n * m) / sum(n) AS mean, sum(n * v) AS ssw, sum(n * m * m) AS q FROM g GROUP BY lot),
+l AS (SELECT *, q - n * mean * mean AS ssb, n2 / (n * n) AS w, (ssw + q - n * mean * mean) / (n - 1) AS var FROM a),
+b AS (SELECT * FROM l WHERE lot = 'N')"""
+#: Quantile and upper tail of Student's t by bisection and Simpson's rule, as the engine has neither.
+_T_DIST = """, tq AS (
+  WITH RECURSIVE s(lot, df, lo, hi, i) AS (
+    SELECT lot, df, 0.0::DOUBLE, 40.0::DOUBLE, 0 FROM x
+    UNION ALL
+    SELECT lot, df, CASE WHEN f < 0.95 THEN mid ELSE lo END, CASE WHEN f < 0.95 THEN hi ELSE mid END, i + 1 FROM (
+      SELECT s.lot, s.df, lo, hi, i, (lo + hi) / 2 AS mid, 0.5 + exp(lgamma((s.df + 1) / 2) - lgamma(s.df / 2)) / sqrt(s.df * pi()) * (lo + hi) / 2 / 2400
+        * sum(CASE WHEN k IN (0, 800) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * (1 + ((lo + hi) / 2 * k / 800) ** 2 / s.df) ** (-(s.df + 1) / 2)) AS f
+      FROM s, range(0, 801) r(k) WHERE i < 48 GROUP BY s.lot, s.df, lo, hi, i)
+  ) SELECT lot, (lo + hi) / 2 AS t FROM s WHERE i = 48),
+pm AS (SELECT x.lot, 0.5 - exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * o / 6000
+    * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * (1 + (o * k / 2000) ** 2 / df) ** (-(df + 1) / 2)) AS p
+  FROM (SELECT *, (abs(delta) - margin) / se AS o FROM x) x, range(0, 2001) r(k) GROUP BY x.lot, df, o)
+SELECT x.lot, mode, round(delta, 6) AS delta, round(se, 6) AS se, round(df, 4) AS df, round(delta - t * se, 5) AS low, round(delta + t * se, 5) AS high, round(margin, 6) AS margin, round(p, 6) AS p_margin,
+  CASE WHEN delta - t * se > -margin AND delta + t * se < margin THEN 'EQUIV' WHEN delta - t * se > margin OR delta + t * se < -margin THEN 'BEYOND' ELSE 'INCONCL' END AS zone
+FROM x JOIN tq ON tq.lot = x.lot JOIN pm ON pm.lot = x.lot"""
+
+
+def _compared(rows):
+    c = v.compare(rows, "lot", "N", "session", "q")
+    return c.select("lot", "mode", *[F.round(x, 6).alias(x) for x in ("delta", "se", "margin", "p_margin")], F.round("df", 4).alias("df"), *[F.round(x, 5).alias(x) for x in ("low", "high")], "zone")
+
+
+@query(f"WITH {LOTS}" + _LOT_SUMS + """, c AS (SELECT *, ssw / (n - k) AS msw, ssb / (k - 1) AS msb, (n - n2 / n) / (k - 1) AS n0, greatest(0, (ssb / (k - 1) - ssw / (n - k)) / ((n - n2 / n) / (k - 1))) AS vs FROM b),
+y AS (SELECT l.lot, l.n, l.mean - c.mean AS delta, 1.5 * sqrt(c.var) AS margin, c.msw / l.n + c.vs * l.w AS v_lot, l.var / l.n AS own, l.w, c.n AS bn, c.k AS bk, c.w AS bw, msw, msb, n0, vs FROM l, c WHERE l.lot <> 'N'),
+z AS (SELECT *, own > v_lot AS o, (1.0 / bn - CASE WHEN vs > 0 THEN bw / n0 ELSE 0 END + CASE WHEN own > v_lot THEN 0 ELSE 1.0 / n - CASE WHEN vs > 0 THEN w / n0 ELSE 0 END END) * msw AS tw,
+  (CASE WHEN vs > 0 THEN bw / n0 ELSE 0 END + CASE WHEN own <= v_lot AND vs > 0 THEN w / n0 ELSE 0 END) * msb AS tb FROM y),
+x AS (SELECT lot, 'session-aware' AS mode, delta, margin, sqrt(msw / bn + vs * bw + greatest(own, v_lot)) AS se,
+  (tw + tb + CASE WHEN o THEN own ELSE 0 END) ** 2 / (tw ** 2 / (bn - bk) + tb ** 2 / (bk - 1) + CASE WHEN o THEN own ** 2 / (n - 1) ELSE 0 END) AS df FROM z)""" + _T_DIST)
 def ver_kpi(spark, d):
-    """VER-4, VER-5."""
-    c = v.compare(v.variance_components(lots(spark, d), ["lot"], "session", "q"), "lot", "N")
-    return c.select("lot", *[F.round(x, 6).alias(x) for x in ("delta", "se", "margin")], "zone")
+    """VER-4, VER-5: by sessions, with Student's quantile at Satterthwaite's degrees of freedom."""
+    return _compared(lots(spark, d))
+
+
+@query(f"WITH {LOTS.replace('l_orderkey % 13 AS session', 'l_orderkey AS session')}" + _LOT_SUMS + """,
+x AS (SELECT l.lot, 'welch' AS mode, l.mean - b.mean AS delta, 1.5 * sqrt(b.var) AS margin, sqrt(b.var * (1.0 / l.n + 1.0 / b.n)) AS se, (b.n - 1)::DOUBLE AS df FROM l, b WHERE l.lot <> 'N')""" + _T_DIST)
+def ver_welch(spark, d):
+    """VER-10: every row a session of its own."""
+    return _compared(lots(spark, d).withColumn("session", F.col("spot")))
 
 
 @query(f"WITH {LOTS}, g AS (SELECT lot, session, avg(q) AS m, count(*) AS n FROM t GROUP BY 1, 2), d AS (SELECT a.lot, a.m - b.m AS d, a.n * b.n / (a.n + b.n) AS w FROM g a JOIN g b ON a.session = b.session AND b.lot = 'N' WHERE a.lot <> 'N') SELECT lot, count(*) AS sessions, round(sum(w * d) / sum(w), 6) AS pooled, round(abs(avg(sign(d))), 6) AS agreement FROM d GROUP BY lot")

@@ -66,11 +66,11 @@ def agg_transposed_means(spark, d):
     return long.groupBy("name").agg(m(1).alias("s1"), m(2).alias("s2"))
 
 
-@query(f"WITH {TILES} SELECT scan, name, round(avg(v), 6) AS mean FROM (UNPIVOT (SELECT scan, {', '.join(FEATURES)} FROM tiles) ON {', '.join(FEATURES)} INTO NAME name VALUE v) WHERE v IS NOT NULL GROUP BY scan, name")
+@query(f"WITH {TILES} SELECT scan, name, round(avg(v), 9) AS mean FROM (UNPIVOT (SELECT scan, {', '.join(FEATURES)} FROM tiles) ON {', '.join(FEATURES)} INTO NAME name VALUE v) WHERE v IS NOT NULL GROUP BY scan, name")
 def agg_means_by_scan(spark, d):
     """AGG-9 over all features and all scans, in long form; a feature without values in a scan has no row."""
     long = t.unpivot(tiles(spark, d), ["scan"], list(FEATURES), value="v").where("v IS NOT NULL")
-    return long.groupBy("scan", "name").agg(F.round(F.avg("v"), 6).alias("mean"))
+    return long.groupBy("scan", "name").agg(F.round(F.avg("v"), 9).alias("mean"))
 
 
 _WQ = """, g AS (SELECT l_returnflag AS k, l_discount AS v, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
@@ -200,10 +200,10 @@ def joi_lookup(spark, d):
     return table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "c_name", "n_name", "r_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT crop FROM design WHERE crop NOT IN (SELECT site FROM analysis_only WHERE site IS NOT NULL AND chain_order IS NOT NULL)")
 def joi_gaps(spark, d):
     """JOI-6, SRC-9: keys still to be done."""
-    return t.gaps(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return t.gaps(table(spark, d, "design").where("crop IS NOT NULL"), table(spark, d, "analysis_only").where("chain_order IS NOT NULL").select(F.col("site").alias("crop")), ["crop"])
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
@@ -318,7 +318,7 @@ def win_lag_products(spark, d):
 def win_line_differences(spark, d):
     """WIN-7: successive differences of line means."""
     m = table(spark, d, "embeddings").select("vec_id", (F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double")) / F.size("embedding")).alias("m"))
-    dd = m.select((F.col("m") - F.lag("m").over(Window.orderBy("vec_id"))).alias("d"))
+    dd = o.successive(m, "vec_id", "m").withColumnRenamed("step", "d")
     return dd.agg(F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 9).alias("rms"), F.round(F.max(F.abs("d")), 9).alias("high"))
 
 
