@@ -80,28 +80,23 @@ def hook_and_shortcut(edges: DataFrame) -> DataFrame:
 def hash_to_min(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Components by hash-to-min: each vertex sends its cluster to the cluster's smallest member and that member to all others.
 
-    A cluster is a set of rows (v, u), not an array, so the largest component needs no single large row. A component is
-    settled once each of its vertices holds the smallest one alone and the smallest one holds them all; it then leaves the
-    table, so later rounds move only what is still open. Rounds grow with the logarithm of the longest path; more than
-    ``max_rounds`` (paths of some 2^60 vertices) raise an error rather than give a wrong result.
+    A cluster is a set of rows (v, u), not an array, so the largest component needs no single large row. A component is settled
+    once each of its vertices holds the smallest one alone and the smallest one holds them all, which is seen from the table of
+    minima; rounds end when all are. They grow with the logarithm of the longest path; more than ``max_rounds`` (paths of some
+    2^60 vertices) raise an error rather than give a wrong result.
     """
     e = _edges(edges)
     pair = lambda v, u: F.struct(F.col(v).alias("v"), F.col(u).alias("u"))
     both = F.explode(F.array(pair("a", "b"), pair("b", "a"), pair("a", "a"), pair("b", "b")))
-    clusters, done = cut(e.select(both.alias("e")).select("e.*").distinct()), []
+    clusters = cut(e.select(both.alias("e")).select("e.*").distinct())
+    alone, own = F.count_if((F.col("v") != F.col("m")) & (F.col("n") == 1)), F.max(F.when(F.col("v") == F.col("m"), F.col("n")))
     for _ in range(max_rounds):
         least = cut(clusters.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")))
-        alone, own = F.count_if((F.col("v") != F.col("m")) & (F.col("n") == 1)), F.max(F.when(F.col("v") == F.col("m"), F.col("n")))
-        state = least.groupBy("m").agg(F.count("*").alias("k"), F.sum("n").alias("rows"), F.max("n").alias("top"), F.coalesce(alone + 1 == own, F.lit(False)).alias("settled"))
-        state = cut(state)
-        open_, kept, vertices, most, rows, top = state.agg(F.count_if(~F.col("settled")), F.count_if("settled"), F.sum("k"), F.max("k"), F.sum("rows"), F.max("top")).first()
-        known = spread_join(least.withColumnRenamed("n", "size"), state.select("m", F.col("k").alias("n"), "settled"), ["m"], vertices, most)
-        if kept:
-            done.append(known.where("settled").select(F.col("v").alias("id"), F.col("m").alias("group_id")))
+        state = least.groupBy("m").agg(F.sum("n").alias("rows"), F.max("n").alias("top"), F.coalesce(alone + 1 == own, F.lit(False)).alias("settled"))
+        open_, rows, top = state.agg(F.count_if(~F.col("settled")), F.sum("rows"), F.max("top")).first()
         if not open_:
-            return union_all(*done) if done else known.select(F.col("v").alias("id"), F.col("m").alias("group_id"))
-        live = known.where("NOT settled").select("v", "m", F.col("size").alias("n"))
-        sent = spread_join(clusters, live, ["v"], rows, top)
+            return least.select(F.col("v").alias("id"), F.col("m").alias("group_id"))
+        sent = spread_join(clusters, least, ["v"], rows, top)
         clusters = cut(sent.select(F.explode(F.array(pair("m", "u"), pair("u", "m"))).alias("e")).select("e.*").distinct())
     raise RuntimeError(f"hash-to-min did not settle in {max_rounds} rounds")
 
