@@ -31,7 +31,7 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
             both = (a < h * w) & (b < h * w)
             low = np.minimum(a, b)
             a[both] = low[both]
-            b[both] = low[both]
+            b[both] = np.minimum(b[both], low[both])  # the two views overlap
         flat = label.ravel()
         inside = flat < h * w
         flat[inside] = flat[flat[inside]]

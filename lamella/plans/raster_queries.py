@@ -116,7 +116,10 @@ def obj_euler(spark, d):
     return r.euler_number(_mask(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PX}, m AS (SELECT img, y, x FROM px WHERE v > 0.1),
+reach(img, y, x, ry, rx) AS (SELECT img, y, x, y, x FROM m UNION SELECT r.img, r.y, r.x, m.y, m.x FROM reach r JOIN m ON m.img = r.img AND abs(m.y - r.ry) + abs(m.x - r.rx) = 1),
+l AS (SELECT img, y, x, min(ry * 64 + rx) AS label FROM reach GROUP BY 1, 2, 3)
+SELECT img, label, count(*) AS area, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, bool_or(y IN (0, 15) OR x IN (0, 63)) AS touches FROM l GROUP BY 1, 2 HAVING count(*) >= 3""")
 def obj_components(spark, d):
     """OBJ-1, OBJ-2, OBJ-4, OBJ-8: labels by union-find in an image, areas, boxes, border contact; small ones dropped."""
     l = k.label_components(_mask(spark, d), width=64)
@@ -232,10 +235,15 @@ def tex_periodogram(spark, d):
     return k.periodogram(image(spark, d))
 
 
-@query()
+_REFLECT = "CASE WHEN ({c} + i + 12 * {n}) % (2 * {n}) < {n} THEN ({c} + i + 12 * {n}) % (2 * {n}) ELSE 2 * {n} - 1 - ({c} + i + 12 * {n}) % (2 * {n}) END"
+
+
+@query(f"""WITH {PX}, w AS (SELECT i, exp(-0.5 * (i / 1.5::DOUBLE) ** 2) / (SELECT sum(exp(-0.5 * (j / 1.5::DOUBLE) ** 2)) FROM range(-6, 7) r(j)) AS w FROM range(-6, 7) r(i)), h AS (SELECT img, max(y) + 1 AS h FROM px GROUP BY img),
+a AS (SELECT o.img, o.y, o.x, sum(w * p.v) AS v FROM px o JOIN h ON h.img = o.img, w JOIN px p ON p.img = o.img AND p.x = o.x AND p.y = {_REFLECT.format(c='o.y', n='h.h')} GROUP BY 1, 2, 3)
+SELECT o.img, o.y, o.x, round(sum(w * p.v), 9) AS v FROM a o, w JOIN a p ON p.img = o.img AND p.y = o.y AND p.x = {_REFLECT.format(c='o.x', n='64')} GROUP BY 1, 2, 3""")
 def ras_gaussian(spark, d):
     """RAS-10: separable Gaussian blur with reflected borders."""
-    return k.gaussian(image(spark, d), 1.5)
+    return k.gaussian(image(spark, d), 1.5).withColumn("v", F.round("v", 9))
 
 
 @query()

@@ -9,7 +9,9 @@ from lamella.operators import learning as l
 from lamella.operators import ordered as o
 from lamella.operators import records as c
 from lamella.operators import tables as t
+from lamella.sources import files
 from lamella.sources.tables import table
+from lamella.streaming import flows
 
 from .learning_queries import NEAR, vectors
 from .registry import query
@@ -302,3 +304,54 @@ def fun_random(spark, d):
     """FUN random, STA-17: normal, exponential and whole numbers from the hash generator."""
     u = lambda s: o.md5_uniform(F.lit(s), "c_custkey")
     return table(spark, d, "customer").select("c_custkey", F.round(c.hash_normal(u("n1"), u("n2")), 8).alias("z"), F.round(-F.log(1 - u("e")), 8).alias("expo"), (F.floor(u("i") * 6) + 1).alias("die"))
+
+
+@query("SELECT item_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS text FROM (SELECT item_id, min(text) AS text FROM eval_items WHERE trim(text) <> '' GROUP BY item_id)")
+def src_inverted_text(spark, d):
+    """SRC-15: texts rebuilt from a map of their words to positions."""
+    i = table(spark, d, "eval_items").where("trim(text) <> ''").groupBy("item_id").agg(F.min("text").alias("text"))
+    w = i.select("item_id", F.posexplode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("at", "word")).groupBy("item_id", "word").agg(F.collect_list("at").alias("at"))
+    inverted = w.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
+    return files.from_positions(inverted, "item_id", "index")
+
+
+@query("SELECT tile_id, CASE WHEN isnan(porosity_frac) THEN NULL ELSE porosity_frac END AS v FROM (SELECT tile_id, porosity_frac, row_number() OVER (PARTITION BY tile_id ORDER BY loaded_at DESC) AS n FROM tile_features) WHERE n = 1")
+def src_json_numbers(spark, d):
+    """SRC-10: numbers as the JSON sink writes them: NaN and infinity null, ten significant digits."""
+    x = t.latest(table(spark, d, "tile_features"), ["tile_id"], "loaded_at").select("tile_id", files.clean_number(F.col("porosity_frac")).alias("v"))
+    back = x.select("tile_id", F.from_json(F.to_json(F.struct("v")), "v double").alias("j"))
+    return back.select("tile_id", "j.v")
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_custkey % 7 <> 0")
+def src_log_lines(spark, d):
+    """SRC-18: JSON lines of a log of which some were cut short."""
+    line = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")))
+    cut = F.when(F.col("c_custkey") % 7 == 0, F.substring(line, 1, 9)).otherwise(line)
+    x = table(spark, d, "customer").select(F.from_json(cut, "id bigint, value double, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
+    return x.where("j._corrupt IS NULL AND j.id IS NOT NULL").select("j.id", "j.value")
+
+
+def _events(spark, d):
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS high FROM events GROUP BY 1, 2")
+def str_tumbling(spark, d):
+    """STR-1: tumbling windows; the same function serves streams under a watermark."""
+    w = flows.windowed(_events(spark, d), "ts", "event_type", "value", "1 day", "1 day")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 6).alias("total"), "high")
+
+
+@query("SELECT strftime(date_trunc('hour', ts) - INTERVAL (k) HOUR, '%Y-%m-%d %H') AS start, event_type, count(*) AS n FROM events, range(0, 3) r(k) GROUP BY 1, 2")
+def str_sliding(spark, d):
+    """STR-1: windows of three hours every hour."""
+    w = flows.windowed(_events(spark, d), "ts", "event_type", "value", "1 day", "3 hours", "1 hour")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "event_type", "n")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, s")
+def str_sessions(spark, d):
+    """STR-1: sessions that end after twelve quiet hours."""
+    s = flows.sessions(_events(spark, d), "ts", "user_id", "1 day", "12 hours")
+    return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")

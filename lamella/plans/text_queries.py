@@ -16,11 +16,10 @@ def txt_slug(spark, d):
     return table(spark, d, "labelfree_spaces").select("space", t.slug(F.col("space")).alias("slug"))
 
 
-@query("SELECT doc_id, nullif(regexp_replace(regexp_extract(lower(text), '(10\\.[0-9]{4,9}/[^ \\t\\n\\r,;\"<>]+)', 1), '[.)\\]]+$', ''), '') AS doi FROM documents WHERE text IS NOT NULL AND lower(text) NOT LIKE '%arxiv%'")
+@query("WITH d AS (SELECT doc_id, nullif(regexp_replace(regexp_extract(lower(text), '(10\\.[0-9]{4,9}/[^ \\t\\n\\r,;\"<>]+)', 1), '[.)\\]]+$', ''), '') AS found, nullif(regexp_extract(lower(text), 'arxiv:?[ \\t\\n\\r]?([0-9]{4}\\.[0-9]{4,5})', 1), '') AS arxiv FROM documents) SELECT doc_id, coalesce(found, '10.48550/arxiv.' || arxiv) AS doi FROM d")
 def txt_doi(spark, d):
     """TXT-2."""
-    rows = table(spark, d, "documents").where("text IS NOT NULL AND lower(text) NOT LIKE '%arxiv%'")
-    return rows.select("doc_id", t.doi(F.col("text")).alias("doi"))
+    return table(spark, d, "documents").select("doc_id", t.doi(F.col("text")).alias("doi"))
 
 
 _TOK = "list_transform(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: CASE WHEN length(w) > 3 AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN w[:-2] ELSE w END)"
@@ -59,7 +58,12 @@ def txt_name_match(spark, d):
     return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", t.name_match(F.col("p"), F.col("q")).cast("double").alias("score"))
 
 
-@query()
+_SPLIT = "string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT item_id, {_SPLIT} AS w FROM eval_items WHERE text IS NOT NULL), p AS (SELECT DISTINCT item_id, array_to_string(w[a:a + 4], ' ') AS piece FROM (SELECT item_id, w, unnest([len(w) // 3 + 1, 2, len(w) - 5]) AS a FROM i WHERE len(w) >= 8)),
+d AS (SELECT doc_id, {_SPLIT} AS w FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, array_to_string(w[a:a + 4], ' ') AS piece FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS a FROM d WHERE len(w) >= 5))
+SELECT DISTINCT doc_id, item_id FROM r JOIN p ON p.piece = r.piece""")
 def evd_quotes(spark, d):
     """EVD-1: (doc_id, item_id) of every item quoted by a document, by three pieces of five words."""
     return t.quotes(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -76,3 +80,12 @@ def evd_consensus(spark, d):
 def led_rollup(spark, d):
     """LED-5."""
     return table(spark, d, "documents").groupBy("source").agg(F.countDistinct("section").alias("sections"), F.min("year").alias("first"), F.max("year").alias("last"), F.count("title").alias("titled"))
+
+
+_TAGS = "regexp_replace(text, '<[a-zA-Z/][^<>]*>|\\x1B\\[[0-9;]*m', '', 'g')"
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace({_TAGS}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS squeezed FROM documents")
+def txt_squeeze(spark, d):
+    """TXT-10: tags and terminal colours out, white space to single blanks; compared by hash."""
+    return table(spark, d, "documents").select("doc_id", F.md5(t.squeeze(F.col("text"))).alias("squeezed"))
