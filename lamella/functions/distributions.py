@@ -30,6 +30,8 @@ def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + t / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+        if (np.abs(d * c - 1) < 1e-15).all():
+            break
     got = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, front * h))
     return np.where(turn, 1 - got, got)
 
@@ -87,7 +89,7 @@ def quantile(cdf, p: np.ndarray, low: float, high: float) -> np.ndarray:
     """Inverse of a rising function by bisection to double precision."""
     p = np.asarray(p, dtype=float)
     a, b = np.full(p.shape, low), np.full(p.shape, high)
-    for _ in range(200):
+    for _ in range(80):
         m = (a + b) / 2
         up = cdf(m) < p
         a, b = np.where(up, m, a), np.where(up, b, m)
