@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.session import cut
+
 
 def variance_components(rows: DataFrame, keys: Sequence[str], group: str, value: str) -> DataFrame:
     """One-way random effects by key: mean squares, n0, the two SDs, ICC, group weight sum n^2 / N^2 and Satterthwaite df.
@@ -38,6 +40,7 @@ def compare(rows: DataFrame, lot: str, baseline: str, session: str, value: str,
     g = r.groupBy(F.col(lot).alias("lot"), F.col(session).alias("s")).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     t = g.groupBy("lot").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("ssw"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
     t = t.withColumns({"ssb": F.col("q") - F.col("n") * F.col("mean") * F.col("mean"), "w": F.col("n2") / (F.col("n") * F.col("n"))}).withColumn("var", (F.col("ssw") + F.col("ssb")) / (F.col("n") - 1))
+    t = cut(t)  # one row a lot, read twice below
     b = t.where(F.col("lot") == baseline).select(*[F.col(c).alias(f"b_{c}") for c in ("k", "n", "n2", "mean", "ssw", "ssb", "w", "var")])
     x = t.where(F.col("lot") != baseline).select("lot", "n", "mean", "w", "var").join(F.broadcast(b))
     c = {c: F.col(c) for c in ("n", "w", "var", "b_k", "b_n", "b_w", "b_var")}
@@ -57,6 +60,7 @@ def compare(rows: DataFrame, lot: str, baseline: str, session: str, value: str,
     x = x.withColumns({
         "delta": F.col("mean") - F.col("b_mean"), "margin": margin_sd * F.sqrt(c["b_var"]), "mode": F.when(aware, "session-aware").otherwise("welch"),
         "se": F.when(aware, F.sqrt(var)).otherwise(F.sqrt(c["b_var"] * (1 / c["n"] + 1 / c["b_n"]))), "df": F.when(aware, df).otherwise(c["b_n"] - 1.0)})
+    x = cut(x.select("lot", "delta", "margin", "mode", "se", "df"))  # else the formulas above are written out many times over
     x = x.withColumn("t", t_quantile(F.lit(1 - alpha), F.col("df")))
     x = x.withColumns({"low": F.col("delta") - F.col("t") * F.col("se"), "high": F.col("delta") + F.col("t") * F.col("se"), "over": (F.abs("delta") - F.col("margin")) / F.col("se")})
     two = t_survival(F.col("over"), F.col("df"))
